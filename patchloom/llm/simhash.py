@@ -36,6 +36,8 @@ BLOCKS = (13, 13, 13, 13, 12)
 PIVOTS = 24
 #: Fingerprints of a bucket that meet in one task, at most.
 BUCKET_ROWS = 20_000
+#: Edges that a file of a checkpointed pass holds, about.
+EDGES_PER_FILE = 100_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -222,6 +224,8 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     edges = checkpoint(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     before = state(edges)
+    # A pass never has more than twice the edges of the one before: files of about that many rows.
+    files = -(-2 * before[0] // EDGES_PER_FILE)
     for _ in range(max_rounds):
         if not before[0]:
             break
@@ -230,7 +234,7 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).where("u <> v").distinct()
         low = lowest(large)
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v")).union(low.select("u", F.col("low").alias("v")))
-        edges = checkpoint(small.where("u <> v").distinct())
+        edges = checkpoint(small.where("u <> v").distinct().coalesce(max(1, files)))
         after = state(edges)
         if after == before:
             break
