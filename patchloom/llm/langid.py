@@ -19,11 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold
+from .common import broadcast_below, fold
 
 DIMENSIONS = 512
 #: Learning documents of a language, about.
 PER_LANGUAGE = 3000
+#: Languages whose counts may be broadcast.
+MANY_LANGUAGES = 10_000
 #: Symbols: a blank, the letters a to z, and classes of the other letters.
 OTHERS = 21
 SYMBOLS = 27 + OTHERS
@@ -99,6 +101,8 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str],
     able = docs.select(F.col("doc_id").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold() != 1))
     share = able.groupBy("lang").count().select("lang", (F.lit(float(per_language)) / F.col("count")).alias("share"))
     point = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("lang")), 11) / float(1 << 53)
+    # One row a language; beyond the bound the texts move by language instead.
+    share, _ = broadcast_below(share, MANY_LANGUAGES)
     chosen = able.join(share, "lang").where(point < F.col("share")).select("text", "lang")
     # Sums by partition; a language's sums are added up place by place.
     parts = chosen.mapInArrow(_bundle, "lang string, total array<long>, n long")
