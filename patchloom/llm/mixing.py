@@ -28,7 +28,7 @@ SHARE, MOST = 1.5, 2.0
 SLOTS, BLOCK_WORDS = 1 << 18, 1 << 16
 GOLDEN = 0.6180339887498949
 #: Slots whose ranks are counted in one task.
-SLOT_RUN = 1 << 15
+SLOT_RUN = 1 << 12
 
 
 def source_targets(sized: DataFrame, share: float = SHARE, most: float = MOST, weights: tuple = WEIGHTS) -> DataFrame:
