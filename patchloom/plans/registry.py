@@ -1,2 +1,283 @@
-def queries(): return {}
-def oracle_sql(): return {}
+"""The registered queries over the driver's tables, each with the SQL that must agree."""
+
+from __future__ import annotations
+
+import os
+import tempfile
+import uuid
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import bitset, cover, index, ingest, stats
+from ..sources import patchfile, statsfile, synthetic
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+@dataclass(frozen=True)
+class Instance:
+    """Patches and elements of a table, as Spark and as DuckDB expressions."""
+
+    table: str
+    patch: str
+    element: str
+    sql_element: str | None = None
+
+
+INSTANCES = {
+    "suppliers_parts": Instance("lineitem", "l_suppkey", "l_partkey"),
+    "parts_suppliers": Instance("lineitem", "l_partkey", "l_suppkey"),
+    "orders_parts": Instance("lineitem", "l_orderkey", "l_partkey"),
+    "users_hours": Instance("events", "user_id", "unix_timestamp(ts) div 3600", "epoch(ts)::BIGINT // 3600"),
+}
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def occurrences(spark: SparkSession, sf_dir: str, name: str = "suppliers_parts") -> DataFrame:
+    """Occurrences of an instance; those of lineitem are at (l_extendedprice, l_quantity)."""
+    if name == "customers_parts":
+        rows = _read(spark, sf_dir, "lineitem").join(_read(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+        return ingest.from_table(rows, "o_custkey", "l_partkey", "l_extendedprice", "l_quantity")
+    if name == "documents_words":
+        words = _read(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(F.split("text", " "))).alias("word"))
+        return ingest.from_table(words, "doc_id", F.xxhash64("word"))
+    i = INSTANCES[name]
+    place = ("l_extendedprice", "l_quantity") if i.table == "lineitem" else (None, None)
+    return ingest.from_table(_read(spark, sf_dir, i.table), F.col(i.patch), F.expr(i.element), *place)
+
+
+def incidences(spark: SparkSession, sf_dir: str, name: str = "suppliers_parts") -> DataFrame:
+    return ingest.incidence(occurrences(spark, sf_dir, name))
+
+
+INC = "SELECT DISTINCT l_suppkey AS patch_id, l_partkey AS hash FROM lineitem"
+DICT = f"SELECT hash, row_number() OVER (ORDER BY hash) - 1 AS element_id FROM (SELECT DISTINCT hash FROM ({INC}))"
+ENC = f"SELECT patch_id, element_id FROM ({INC}) JOIN ({DICT}) USING (hash)"
+STATS = "SELECT l_partkey AS hash, count(DISTINCT l_suppkey) AS n_patches, min({'x': l_extendedprice, 'y': l_quantity}) AS rep FROM lineitem GROUP BY 1"
+TOP = 100
+FIRST = "SELECT DISTINCT patch_id FROM ({inc}) WHERE patch_id <= 3"
+SHARDS = 7
+
+
+def _joined(column: str):
+    return F.array_join(F.col(column).cast("array<string>"), ",")
+
+
+def _encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.encode(incidences(spark, sf_dir))
+
+
+def _first_three(rows: DataFrame) -> DataFrame:
+    return rows.select("patch_id").where("patch_id <= 3").distinct()
+
+
+def patch_csr(spark, sf_dir):
+    return index.patch_csr(_encoded(spark, sf_dir)).select("patch_id", _joined("elements").alias("elements"))
+
+
+def inverted_index(spark, sf_dir):
+    return index.inverted_index(_encoded(spark, sf_dir)).select("element_id", _joined("patches").alias("patches"))
+
+
+def dictionary_encode(spark, sf_dir):
+    return index.dictionary(incidences(spark, sf_dir))
+
+
+def reverse_map(spark, sf_dir):
+    words = index.dictionary(incidences(spark, sf_dir))
+    return index.reverse_map(words, words.select("element_id").where("element_id % 3 = 0"))
+
+
+def patches_of(spark, sf_dir):
+    """Every second element, and one past the end, which no patch holds."""
+    encoded = _encoded(spark, sf_dir)
+    ids = encoded.select("element_id").distinct()
+    wanted = ids.where("element_id % 2 = 0").union(ids.agg(F.max("element_id") + 1))
+    found = index.patches_of(index.inverted_index(encoded), wanted)
+    return found.select("element_id", _joined("patches").alias("patches"), F.size("patches").cast("long").alias("n"))
+
+
+def patch_lookup(spark, sf_dir):
+    """Even patches, and one that does not exist."""
+    encoded = _encoded(spark, sf_dir)
+    ids = encoded.select("patch_id").distinct()
+    wanted = ids.where("patch_id % 2 = 0").union(ids.agg(F.max("patch_id") + 1))
+    return index.patch_lookup(index.patch_csr(encoded), wanted).select("patch_id", "size")
+
+
+def hash_stats_all(spark, sf_dir):
+    return stats.hash_stats(stats.require_locations(occurrences(spark, sf_dir))).select("hash", "n_patches", "rep.x", "rep.y")
+
+
+def hash_stats_topk(spark, sf_dir):
+    return stats.top_k(stats.hash_stats(occurrences(spark, sf_dir)), TOP).select("hash", "n_patches", "rep.x", "rep.y")
+
+
+def stats_records(spark, sf_dir):
+    return statsfile.records(stats.hash_stats(occurrences(spark, sf_dir)))
+
+
+def newly_covered(spark, sf_dir):
+    rows = incidences(spark, sf_dir)
+    return cover.newly_covered(rows, 4, _first_three(rows))
+
+
+def covered_union(spark, sf_dir):
+    """The union of the bitmaps of patches 1 to 3, as ids."""
+    encoded = _encoded(spark, sf_dir)
+    return bitset.members(bitset.union(bitset.build(encoded.where("patch_id <= 3"), ["patch_id"])))
+
+
+def bitset_popcount(spark, sf_dir):
+    return bitset.popcount(bitset.build(_encoded(spark, sf_dir), ["patch_id"]), ["patch_id"])
+
+
+def bitset_members(spark, sf_dir):
+    return bitset.members(bitset.build(_encoded(spark, sf_dir), ["patch_id"]), ["patch_id"])
+
+
+def bitset_test(spark, sf_dir):
+    encoded = _encoded(spark, sf_dir)
+    return bitset.test(bitset.build(encoded.where("patch_id = 1")), encoded.select("element_id").distinct())
+
+
+def intersect_count(spark, sf_dir):
+    rows = incidences(spark, sf_dir)
+    return bitset.intersect_count(rows.where("patch_id = 1"), rows.where("patch_id = 2"), "hash")
+
+
+def gain_after_k(spark, sf_dir):
+    rows = incidences(spark, sf_dir)
+    return cover.gains_after(rows, _first_three(rows))
+
+
+def best_patch(spark, sf_dir):
+    return cover.best_patch(gain_after_k(spark, sf_dir))
+
+
+def contiguous_slice(spark, sf_dir):
+    """Orders, numbered from 0 as patches are, in SHARDS contiguous parts."""
+    orders = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("hash"))
+    numbered = index.dictionary(orders).select(F.col("element_id").alias("patch_id"))
+    return ingest.contiguous_slice(numbered, numbered.agg(F.count("*")).first()[0], SHARDS)
+
+
+def element_shard(spark, sf_dir):
+    return index.element_shard(index.dictionary(incidences(spark, sf_dir)), SHARDS)
+
+
+def cover_summary(spark, sf_dir):
+    return cover.summary(cover.cover_lazy(incidences(spark, sf_dir, "orders_parts")))
+
+
+def cover_grouped(spark, sf_dir):
+    """A cover of parts by suppliers for each ship year."""
+    rows = _read(spark, sf_dir, "lineitem").select(F.year("l_shipdate").cast("long").alias("year"), F.col("l_suppkey").alias("patch_id"), F.col("l_partkey").alias("hash"))
+    return cover.cover_grouped(rows, "year")
+
+
+def patch_file_round_trip(spark, sf_dir):
+    """Written as a patch file with locations and read again; suppliers count from 0, as patches of a file do."""
+    rows = occurrences(spark, sf_dir).withColumn("pos", F.monotonically_increasing_id().cast("int"))
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    path = os.path.join(base.removeprefix("file://"), f"patches-{uuid.uuid4().hex}.bin")
+    patchfile.write_patches(ingest.nest_occurrences(rows), path)
+    return patchfile.read_patches(spark, path, located=True).select("patch_id", "hash", "x", "y")
+
+
+def synthetic_summary(spark, sf_dir):
+    """The published small workload: its universe and its cover."""
+    rows = synthetic.generate(spark, synthetic.Parameters(10_000, 1_000, 50, 0.4, 42))
+    selection = cover.summary(cover.cover_lazy(ingest.incidence(rows)))
+    return ingest.universe_size(ingest.incidence(rows)).crossJoin(selection)
+
+
+def _cover(name: str, partition_by: str) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return cover.cover_lazy(incidences(spark, sf_dir, name), partition_by).select("step", "patch_id", "gain", "covered")
+
+    return query
+
+
+def _cover_sql(inc: str) -> str:
+    return f"""
+WITH RECURSIVE inc AS MATERIALIZED ({inc}),
+r(step, pid, e, w, g) AS (
+  SELECT 1::BIGINT, pid, e, arg_max(pid, struct_pack(n := n, p := -pid)) OVER (), max(n) OVER ()
+  FROM (SELECT pid, e, count(*) OVER (PARTITION BY pid) n FROM inc)
+  UNION ALL
+  SELECT step, pid, e, arg_max(pid, struct_pack(n := n, p := -pid)) OVER (), max(n) OVER ()
+  FROM (SELECT step + 1 AS step, pid, e, count(*) OVER (PARTITION BY pid) n FROM r
+        WHERE e NOT IN (SELECT e FROM r WHERE pid = w)))
+SELECT step, patch_id, gain, CAST(sum(gain) OVER (ORDER BY step) AS BIGINT) AS covered
+FROM (SELECT DISTINCT step, w AS patch_id, g AS gain FROM r)"""
+
+
+def _instance_sql(name: str) -> str:
+    if name == "customers_parts":
+        return "SELECT DISTINCT o_custkey AS pid, l_partkey AS e FROM lineitem JOIN orders ON l_orderkey = o_orderkey"
+    i = INSTANCES[name]
+    return f"SELECT DISTINCT {i.patch} AS pid, {i.sql_element or i.element} AS e FROM {i.table}"
+
+
+COVERS = ("suppliers_parts", "parts_suppliers", "orders_parts", "customers_parts", "users_hours")
+
+
+def queries() -> dict[str, Query]:
+    plain: dict[str, Query] = {
+        "incidence": incidences,
+        "patch_size": lambda s, d: ingest.patch_size(incidences(s, d)),
+        "universe_size": lambda s, d: ingest.universe_size(incidences(s, d)),
+        "hash_degree": lambda s, d: stats.hash_degree(incidences(s, d)),
+        "hash_min_location": lambda s, d: stats.min_location(occurrences(s, d)).select("hash", "rep.x", "rep.y"),
+    }
+    named = (dictionary_encode, reverse_map, patch_csr, inverted_index, patches_of, patch_lookup, hash_stats_topk, hash_stats_all, stats_records, newly_covered, covered_union, intersect_count, gain_after_k, best_patch, contiguous_slice, element_shard, bitset_popcount, bitset_members, bitset_test, cover_summary, cover_grouped, patch_file_round_trip, synthetic_summary)
+    plain |= {f.__name__: f for f in named}
+    plain |= {f"greedy_cover_{c}": _cover(c, "patch") for c in (*COVERS, "documents_words")}
+    return plain | {f"greedy_cover_{c}_by_element": _cover(c, "element") for c in COVERS}
+
+
+def oracle_sql() -> dict[str, str]:
+    first = FIRST.format(inc=INC)
+    done = f"SELECT hash FROM ({INC}) WHERE patch_id IN ({first})"
+    gains = f"SELECT patch_id, count(*) AS gain FROM ({INC}) WHERE hash NOT IN ({done}) GROUP BY 1"
+    inverted = f"SELECT element_id, string_agg(patch_id::VARCHAR, ',' ORDER BY patch_id) AS patches, count(*) AS n FROM ({ENC}) GROUP BY 1"
+    cells = f"SELECT max(element_id) AS last FROM ({DICT})"
+    out = {
+        "incidence": INC,
+        "patch_size": f"SELECT patch_id, count(*) AS size FROM ({INC}) GROUP BY 1",
+        "universe_size": f"SELECT count(DISTINCT hash) AS n FROM ({INC})",
+        "hash_degree": f"SELECT hash, count(*) AS degree FROM ({INC}) GROUP BY 1",
+        "hash_min_location": f"SELECT hash, rep.x AS x, rep.y AS y FROM ({STATS})",
+        "dictionary_encode": DICT,
+        "reverse_map": f"SELECT element_id, hash FROM ({DICT}) WHERE element_id % 3 = 0",
+        "patch_csr": f"SELECT patch_id, string_agg(element_id::VARCHAR, ',' ORDER BY element_id) AS elements FROM ({ENC}) GROUP BY 1",
+        "inverted_index": f"SELECT element_id, patches FROM ({inverted})",
+        "patches_of": f"SELECT element_id, patches, n FROM ({inverted}) WHERE element_id % 2 = 0 UNION ALL SELECT last + 1, '', 0 FROM ({cells})",
+        "patch_lookup": f"SELECT patch_id, count(*) AS size FROM ({INC}) WHERE patch_id % 2 = 0 GROUP BY 1 UNION ALL SELECT max(patch_id) + 1, 0 FROM ({INC})",
+        "hash_stats_all": f"SELECT hash, n_patches, rep.x AS x, rep.y AS y FROM ({STATS})",
+        "hash_stats_topk": f"SELECT hash, n_patches, rep.x AS x, rep.y AS y FROM ({STATS}) ORDER BY n_patches DESC, hash LIMIT {TOP}",
+        "stats_records": f"SELECT hash, format('{{:016x}}', hash) || chr(9) || format('{{:20d}}', n_patches) || chr(9) || format('{{:25.17e}}', rep.x) || chr(9) || format('{{:25.17e}}', rep.y) AS record FROM ({STATS})",
+        "newly_covered": f"SELECT hash FROM ({INC}) WHERE patch_id = 4 EXCEPT ({done})",
+        "covered_union": f"SELECT DISTINCT element_id FROM ({ENC}) WHERE patch_id <= 3",
+        "intersect_count": f"SELECT count(*) AS n FROM (SELECT hash FROM ({INC}) WHERE patch_id = 1 INTERSECT SELECT hash FROM ({INC}) WHERE patch_id = 2)",
+        "gain_after_k": gains,
+        "best_patch": f"SELECT patch_id, gain FROM ({gains}) ORDER BY gain DESC, patch_id LIMIT 1",
+        "contiguous_slice": f"SELECT patch_id, ((patch_id + 1) * {SHARDS} - 1) // (SELECT count(DISTINCT o_orderkey) FROM orders) AS part FROM (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS patch_id FROM (SELECT DISTINCT o_orderkey FROM orders))",
+        "element_shard": f"SELECT element_id, element_id // (((SELECT count(*) FROM ({DICT})) + {SHARDS - 1}) // {SHARDS}) AS shard FROM ({DICT})",
+        "bitset_popcount": f"SELECT patch_id, count(*) AS n FROM ({INC}) GROUP BY 1",
+        "bitset_members": ENC,
+        "bitset_test": f"SELECT element_id, bool_or(patch_id = 1) AS is_set FROM ({ENC}) GROUP BY 1",
+        "cover_summary": f"SELECT count(*) AS selected, CAST(sum(gain) AS BIGINT) AS covered, max(step) AS iterations FROM ({_cover_sql(_instance_sql('orders_parts'))})",
+        "patch_file_round_trip": "SELECT l_suppkey AS patch_id, l_partkey AS hash, l_extendedprice AS x, l_quantity AS y FROM lineitem",
+        "synthetic_summary": "SELECT 6019::BIGINT AS n, 353::BIGINT AS selected, 6019::BIGINT AS covered, 353::BIGINT AS iterations",
+    }
+    for c in COVERS:
+        out[f"greedy_cover_{c}"] = out[f"greedy_cover_{c}_by_element"] = _cover_sql(_instance_sql(c))
+    return out
