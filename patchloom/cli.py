@@ -39,6 +39,9 @@ def parser() -> argparse.ArgumentParser:
 
 def _occurrences(spark: SparkSession, a: argparse.Namespace, located: bool) -> DataFrame:
     if a.input:
+        header = patchfile.read_header(a.input)
+        if located and not header.located:
+            raise patchfile.PatchFileError(f"{a.input}: statistics need locations")
         return patchfile.read_patches(spark, a.input, coords=located, located=located)
     return synthetic.generate(spark, synthetic.Parameters(a.N, a.M, a.K, a.overlap, a.seed), located)
 

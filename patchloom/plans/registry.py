@@ -31,7 +31,7 @@ INSTANCES = {
     "suppliers_parts": Instance("lineitem", "l_suppkey", "l_partkey"),
     "parts_suppliers": Instance("lineitem", "l_partkey", "l_suppkey"),
     "orders_parts": Instance("lineitem", "l_orderkey", "l_partkey"),
-    "users_hours": Instance("events", "user_id", "unix_timestamp(ts) div 3600", "epoch(ts)::BIGINT // 3600"),
+    "users_hours": Instance("events", "user_id", "unix_timestamp(ts) div 3600", "CAST(floor(epoch(ts)) AS BIGINT) // 3600"),
 }
 
 

@@ -7,6 +7,7 @@ import os
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.bits import to_unsigned, unsigned
 
@@ -39,7 +40,7 @@ def write_stats(top: DataFrame, path: str) -> int:
     return n
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _record(h: pd.Series, n: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
     return pd.Series([format_record(*row)[:-1] for row in zip(h, n, x, y, strict=True)])
 
