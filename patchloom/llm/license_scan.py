@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import checkpoint
+
 THRESHOLD = 0.6
 #: Lines that speak of a licence.
 ANCHOR = r"(?i)licen[cs]e|copyright|spdx|warrant(y|ies)|public domain|creative commons|all rights reserved"
@@ -110,7 +112,7 @@ def ancestors(path: Column) -> Column:
 def license_scan(files: DataFrame, path: str = "path", text: str = "text", templates: tuple = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """path, own_license, score, inherited_license, inherited_from and license of every file."""
     own = files.select(F.col(path).cast("string").alias("path"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
-    units = units_of(own).dropDuplicates(["path", "h", "unit"])
+    units = checkpoint(units_of(own).dropDuplicates(["path", "h", "unit"]))  # the texts are read once for it
     matched = units.join(match_units(units, templates, threshold), "unit")
     per_file = matched.groupBy("path", "h").agg(F.max(F.struct("score", "license")).alias("b"), F.sum("unit_words").alias("licence_words"), F.max("n_words").alias("n_words"))
     named = F.regexp_like(F.coalesce("path", F.lit("")), F.lit(LICENSE_FILE)) | (F.col("licence_words") * 2 >= F.col("n_words"))
