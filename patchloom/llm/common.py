@@ -36,6 +36,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(docs: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before them until `docs` has no such column."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def broadcast_below(df: DataFrame, rows: int) -> tuple[DataFrame, bool]:
     """`df` with a broadcast hint if it is shown to hold at most `rows` rows, else as it is."""
     small = df.limit(rows + 1).count() <= rows
@@ -157,16 +167,20 @@ def word_counts(batches, text: str = "text", name: str = "size"):
 # --- ranks and running sums without a task per key ----------------------------------------------
 
 
-def running(df: DataFrame, by: list[str], key: str, order: list[str], buckets: int, value: Column, name: str) -> DataFrame:
+def running(df: DataFrame, by: list[str], key: str, order: list[str], buckets: int, value: Column, name: str, counted: DataFrame | None = None) -> DataFrame:
     """`df` with the sum of `value` over the rows that come before, in each `by` group, as `name`.
 
     Rows are ordered by `key` (a uniform long hash) and then `order`.  A group is cut into `buckets`
     ranges of the key, so no task holds a whole group: sums by range first, then within each range.
-    The `by` columns hold no null.
+    The `by` columns hold no null.  `counted` may give the same rows without what is heavy in `df`.
     """
     width = (1 << 63) // max(buckets, 2) + 1
-    cut = df.withColumn("_range", F.expr(f"shiftrightunsigned({key}, 1) div {width}L")).withColumn("_value", value.cast("long"))
-    sums = cut.groupBy(*by, "_range").agg(F.sum("_value").alias("_sum"))
+
+    def ranged(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("_range", F.expr(f"shiftrightunsigned({key}, 1) div {width}L")).withColumn("_value", value.cast("long"))
+
+    cut = ranged(df)
+    sums = (cut if counted is None else ranged(counted)).groupBy(*by, "_range").agg(F.sum("_value").alias("_sum"))
     earlier = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.select(*by, "_range", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_base"))
     within = Window.partitionBy(*by, "_range").orderBy(F.expr(f"shiftrightunsigned({key}, 1)"), *order).rowsBetween(Window.unboundedPreceding, -1)

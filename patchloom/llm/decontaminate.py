@@ -10,7 +10,7 @@ With up to one substitution in five, every window of 15 or 20 tokens holds a see
 (checked in the tests), so a leak with substitutions only is not missed.
 
 Edge cases: null or empty texts leak nothing; an item of fewer than LEAST words is not searched for;
-null and repeated ids keep their own rows; equal items are each reported; empty tables give an empty
+null ids are ids like any other; items that repeat an id are reported as one; empty tables give an empty
 result; columns beside the id and the text are ignored.
 """
 
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_below, checkpoint
+from .common import broadcast_below, checkpoint, unused
 
 #: Offsets of the tokens that a seed looks at.
 MASKS = ((0, 1, 2, 4), (0, 2, 4, 5))
@@ -85,8 +85,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, masks: tuple = MASKS, window: i
     again = own.join(small, (F.col("h") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_id")))
     again = again.select("doc_id", "h", token_hashes(F.col("text")).alias("tokens"), "found")
     pairs = again.select("doc_id", "h", "tokens", F.inline("found"))
-    item_lookup, _ = broadcast_below(items.withColumnRenamed("tokens", "item"), BROADCAST_ROWS)
-    placed = pairs.join(item_lookup, "item_id")
+    item_lookup, _ = broadcast_below(items.select(F.col("item_id").alias("_item"), F.col("tokens").alias("item")), BROADCAST_ROWS)
+    placed = pairs.join(item_lookup, F.col("item_id").eqNullSafe(F.col("_item")))
     return _verify(placed, window, identity)
 
 
@@ -104,6 +104,7 @@ def _verify(placed: DataFrame, window: int, identity: float) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that leak no item, with all their columns."""
-    bad = checkpoint(leaks(docs, benchmark).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct())
+    id_, h = unused(docs, "leak_id", "leak_h")
+    bad = checkpoint(leaks(docs, benchmark).select(F.col("doc_id").alias(id_), F.col("h").alias(h)).distinct())
     bad, _ = broadcast_below(bad, BROADCAST_ROWS)
-    return docs.join(bad, (F.xxhash64("text") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    return docs.join(bad, (F.xxhash64("text") == F.col(h)) & F.col("doc_id").eqNullSafe(F.col(id_)), "left_anti")

@@ -3,7 +3,7 @@
 A unit is a line that speaks of a licence (any line of the text, not only its head), or the whole text
 of a file with a licence's name.  Term weights are tf * idf over all units of the corpus and the
 templates; a unit gets the template with the largest cosine, from THRESHOLD on.  A file has the licence
-of its best unit.  A licence file - by its name, or because licence units hold at least half of its
+of its best unit.  A licence file - by its name, or because licence units hold nine tenths of its
 words - also speaks for its directory; a file without a licence of its own inherits from the nearest
 ancestor directory that has one, by a join of directory paths.
 
@@ -115,7 +115,7 @@ def license_scan(files: DataFrame, path: str = "path", text: str = "text", templ
     units = checkpoint(units_of(own).dropDuplicates(["path", "h", "unit"]))  # the texts are read once for it
     matched = units.join(match_units(units, templates, threshold), "unit")
     per_file = matched.groupBy("path", "h").agg(F.max(F.struct("score", "license")).alias("b"), F.sum("unit_words").alias("licence_words"), F.max("n_words").alias("n_words"))
-    named = F.regexp_like(F.coalesce("path", F.lit("")), F.lit(LICENSE_FILE)) | (F.col("licence_words") * 2 >= F.col("n_words"))
+    named = F.regexp_like(F.coalesce("path", F.lit("")), F.lit(LICENSE_FILE)) | (F.col("licence_words") * 10 >= F.col("n_words") * 9)
     per_file = per_file.select("path", "h", F.col("b.license").alias("own_license"), F.col("b.score").alias("score"), named.alias("speaks"))
     speaking = per_file.where(F.col("speaks") & F.col("path").isNotNull()).select(directory(F.col("path")).alias("above"), F.struct("score", "own_license").alias("s"))
     of_dir = speaking.groupBy("above").agg(F.max("s").alias("s")).select("above", F.col("s.own_license").alias("dir_license"))

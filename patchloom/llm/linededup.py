@@ -14,7 +14,8 @@ A line deleted always equals an earlier one, so the first copy of everything sta
 Edge cases: lines are compared without blanks at their ends, and lines without a word match any
 other such line but add no words; null texts have no lines; null ids sort first; rows that repeat an
 id and a text count as one document and get the same result; an empty table gives an empty result;
-columns beside doc_id and text are ignored (and kept by dedup_lines).
+columns beside doc_id and text are ignored, and kept by dedup_lines
+(but one named `removed`).
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Texts, checkpoint, mix64, slices, text_bytes
+from .common import Texts, checkpoint, mix64, slices, text_bytes, unused
 
 RUN_WORDS, MATCH_WORDS = 50, 40
 
@@ -150,15 +151,16 @@ def repeated_lines(docs: DataFrame, run_words: int = RUN_WORDS, match_words: int
 
 def dedup_lines(docs: DataFrame, run_words: int = RUN_WORDS, match_words: int = MATCH_WORDS) -> DataFrame:
     """The documents with their columns, `text` without the repeated runs, and `removed` (positions, or null)."""
-    found = repeated_lines(docs, run_words, match_words).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.col("removed").alias("_removed"))
-    joined = docs.join(found, (F.xxhash64("text") == F.col("_h")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left")
+    id_, h, gone = unused(docs, "line_id", "line_h", "line_removed")
+    found = repeated_lines(docs, run_words, match_words).select(F.col("doc_id").alias(id_), F.col("h").alias(h), F.col("removed").alias(gone))
+    joined = docs.join(found, (F.xxhash64("text") == F.col(h)) & F.col("doc_id").cast("long").eqNullSafe(F.col(id_)), "left")
     pieces = F.split("text", "\n", -1)
-    # Both lists ascend: walk the gaps between removed positions.
-    edges = F.concat(F.array(F.lit(-1)), "_removed", F.array(F.size(pieces)))
+    # Removed positions ascend: walk the gaps between them.
+    edges = F.concat(F.array(F.lit(-1)), gone, F.array(F.size(pieces)))
     gaps = F.zip_with(F.slice(edges, F.lit(1), F.size(edges) - 1), F.slice(edges, F.lit(2), F.size(edges) - 1), lambda a, b: F.slice(pieces, a + 2, b - a - 1))
-    cleaned = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(F.array_join(F.flatten(gaps), "\n"))
+    cleaned = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(F.flatten(gaps), "\n"))
     rest = [c for c in docs.columns if c not in ("text", "removed")]
-    return joined.select(*(F.col(f"`{c}`") for c in rest), cleaned.alias("text"), F.col("_removed").alias("removed"))
+    return joined.select(*(F.col(f"`{c}`") for c in rest), cleaned.alias("text"), F.col(gone).alias("removed"))
 
 
 def dedup_report(docs: DataFrame) -> DataFrame:

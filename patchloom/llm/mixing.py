@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import buckets_for, checkpoint, running, word_counts
+from .common import buckets_for, checkpoint, running, unused, word_counts
 
 WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2.0
@@ -121,10 +121,12 @@ def mix_corpus(docs: DataFrame, share: float = SHARE, most: float = MOST) -> Dat
     """
     mixed = mix_sources(docs, share, most).withColumn("copies", F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("int"))
     # Rows that repeat an id, a text and a source are one key: their copies add up.
-    per_key = mixed.groupBy("doc_id", "crc", "src").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")).where("copies > 0")
-    per_key = per_key.select(F.col("doc_id").alias("_id"), F.col("crc").alias("_crc"), F.col("src").alias("_src"), "copies", "rows")
+    id_, crc, of, copies, rows, copy = unused(docs, "mix_id", "mix_crc", "mix_src", "mix_copies", "mix_rows", "mix_copy")
+    per_key = mixed.groupBy("doc_id", "crc", "src").agg(F.sum("copies").alias(copies), F.count("*").alias(rows)).where(F.col(copies) > 0)
+    per_key = per_key.select(F.col("doc_id").alias(id_), F.col("crc").alias(crc), F.col("src").alias(of), copies, rows)
     src = F.when(F.col("source").isNull(), "1").otherwise(F.concat(F.lit("0"), F.col("source").cast("string")))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.crc32(F.coalesce("text", F.lit(""))) == F.col("_crc")) & (src == F.col("_src"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.crc32(F.coalesce("text", F.lit(""))) == F.col(crc)) & (src == F.col(of))
     joined = docs.join(per_key, same)
     # Of `rows` equal rows each stands for copies / rows, rounded up: never fewer than the mix takes.
-    return joined.withColumn("_copy", F.explode(F.expr("sequence(1, cast(ceil(copies / rows) as int))"))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    times = F.sequence(F.lit(1), F.ceil(F.col(copies) / F.col(rows)).cast("int"))
+    return joined.withColumn(copy, F.explode(times)).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Texts, checkpoint, slices, text_bytes
+from .common import Texts, checkpoint, slices, text_bytes, unused
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 3
 #: Widths of the five blocks, high bits first.
@@ -261,12 +261,13 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     Rows that repeat an id and a fingerprint are settled among themselves, so one row stays.
     """
     found = checkpoint(simhash_components(docs))
+    own_fp, id_, fp = unused(docs, "own_fp", "keep_id", "keep_fp")
     order = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "fingerprint")
-    keepers = found.groupBy("root").agg(F.min(order).alias("o")).select(F.col("o.doc_id").alias("_id"), F.col("o.fingerprint").alias("_fp"))
+    keepers = found.groupBy("root").agg(F.min(order).alias("o")).select(F.col("o.doc_id").alias(id_), F.col("o.fingerprint").alias(fp))
     repeated = found.groupBy("doc_id", "fingerprint").count().where("count > 1").limit(1).count()
-    schema = T.StructType([*docs.schema.fields, T.StructField("_own_fp", T.LongType())])
-    tagged = docs.mapInArrow(lambda b: _add_fingerprints(b, "text", "_own_fp", True), schema)
-    kept = tagged.join(keepers, (F.col("_own_fp") == F.col("_fp")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")
+    schema = T.StructType([*docs.schema.fields, T.StructField(own_fp, T.LongType())])
+    tagged = docs.mapInArrow(lambda b: _add_fingerprints(b, "text", own_fp, True), schema)
+    kept = tagged.join(keepers, (F.col(own_fp) == F.col(fp)) & F.col("doc_id").cast("long").eqNullSafe(F.col(id_)), "left_semi")
     if repeated:
-        kept = kept.dropDuplicates(["doc_id", "_own_fp"])
+        kept = kept.dropDuplicates(["doc_id", own_fp])
     return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
