@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 #: A word is a maximal run of anything but these ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that one vectorised pass handles; a longer document gets a pass of its own.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 
 
 def shared_folder(spark: SparkSession) -> str:
