@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import buckets_for, checkpoint, running, unused, word_counts
+from .common import broadcast_below, buckets_for, checkpoint, running, unused, word_counts
 
 WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2.0
@@ -29,6 +29,8 @@ SLOTS, BLOCK_WORDS = 1 << 18, 1 << 16
 GOLDEN = 0.6180339887498949
 #: Slots whose ranks are counted in one task.
 SLOT_RUN = 1 << 12
+#: Sources whose targets may be broadcast.
+MANY_SOURCES = 100_000
 
 
 def source_targets(sized: DataFrame, share: float = SHARE, most: float = MOST, weights: tuple = WEIGHTS) -> DataFrame:
@@ -111,7 +113,8 @@ def mix_sources(docs: DataFrame, share: float = SHARE, most: float = MOST, weigh
     taken = pieces.join(times, ["src", "b"], "left").groupBy("src", "doc_id", "crc", "size", "begin").agg(F.sum(F.when(F.col("size") > 0, overlap * F.coalesce("times", F.lit(0))).otherwise(0)).alias("taken"), (F.count("*")).alias("pieces"))
     # Empty documents with equal keys begin at the same word: as many rows as went in.
     rows = taken.withColumn("copies", F.when(F.col("size") > 0, F.lit(1)).otherwise(F.col("pieces"))).select("src", "doc_id", "crc", "size", "taken", F.explode(F.expr("sequence(1L, copies)")).alias("_copy")).drop("_copy")
-    return rows.join(targets, "src").select("doc_id", "crc", "size", "src", F.col("source_size").cast("long").alias("source_size"), "target", F.col("taken").cast("long").alias("taken"))
+    few, _ = broadcast_below(targets, MANY_SOURCES)  # one row a source
+    return rows.join(few, "src").select("doc_id", "crc", "size", "src", F.col("source_size").cast("long").alias("source_size"), "target", F.col("taken").cast("long").alias("taken"))
 
 
 def mix_corpus(docs: DataFrame, share: float = SHARE, most: float = MOST) -> DataFrame:
