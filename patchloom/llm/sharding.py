@@ -185,9 +185,9 @@ def shard_corpus(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     rows = checkpoint(metadata(docs))
     n = rows.count()
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), "doc_id", "text")
-    levels, _ = build_tree(rows, shards)
+    levels, counted = build_tree(rows, shards)
     placed = metadata(packed, "doc").withColumn("shard", shard_of(levels))
-    slots = running(placed, ["shard"], "key", ["doc_id", "size", "text_crc32"], buckets_for(n), F.lit(1), "slot")
+    slots = running(placed, ["shard"], "key", ["doc_id", "size", "text_crc32"], buckets_for(n), F.lit(1), "slot", counted)
     made = ("size", "text_crc32", "law", "shard", "slot")
     own = [c for c in docs.columns if c not in made]
     return slots.select(*(F.col("doc").getField(c).alias(c) for c in own), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot")
