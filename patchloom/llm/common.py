@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 
 import numpy as np
@@ -189,5 +190,6 @@ def running(df: DataFrame, by: list[str], key: str, order: list[str], buckets: i
     return joined.withColumn(name, F.col("_base") + F.col("_local")).drop("_range", "_value", "_local", "_base")
 
 
-def buckets_for(rows: int, per_bucket: int = 20_000) -> int:
-    return max(1, -(-rows // per_bucket))
+def buckets_for(rows: int) -> int:
+    """About as many ranges as each holds rows, up to a factor: neither grows like the rows."""
+    return max(1, math.isqrt(rows) // 4)
