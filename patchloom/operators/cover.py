@@ -25,6 +25,8 @@ from .ingest import incidence
 BATCH_PATCHES, BATCH_ELEMENTS = 4096, 4_000_000
 #: Newly covered elements or winners that may be broadcast.
 BROADCAST_ROWS = 500_000
+#: Incidences of a group that one task may hold; a larger group is covered in rounds.
+GROUP_ROWS = 2_000_000
 
 
 @dataclass
@@ -124,8 +126,12 @@ def cover_naive(incidences: DataFrame) -> DataFrame:
     return spark.createDataFrame(steps, SELECTION)
 
 
-def cover_grouped(incidences: DataFrame, group: str) -> DataFrame:
-    """Independent covers, one per value of `group` (a long), each in one task: (group, step, patch_id, gain, covered)."""
+def cover_grouped(incidences: DataFrame, group: str, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """Independent covers, one per value of `group` (a long): (group, step, patch_id, gain, covered).
+
+    Groups of at most `group_rows` incidences are solved in a task each; a larger one, of which there
+    are at most the incidences over `group_rows`, goes through cover_lazy on the whole cluster.
+    """
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
         codes, known = pd.factorize(rows["hash"])
@@ -137,8 +143,17 @@ def cover_grouped(incidences: DataFrame, group: str) -> DataFrame:
         gains = np.array([g for _, g in won], np.int64)
         return pd.DataFrame({group: rows[group].iloc[0], "step": np.arange(1, len(won) + 1), "patch_id": [int(slots[i]) for i, _ in won], "gain": gains, "covered": np.cumsum(gains)})
 
-    distinct = incidences.select(F.col(group).cast("long").alias(group), "patch_id", "hash").distinct()
-    return distinct.groupBy(group).applyInPandas(solve, f"{group} long, step long, patch_id long, gain long, covered long")
+    schema = f"{group} long, step long, patch_id long, gain long, covered long"
+    distinct = checkpoint(incidences.select(F.col(group).cast("long").alias(group), "patch_id", "hash").distinct())
+    heavy = [r[0] for r in distinct.groupBy(group).count().where(F.col("count") > group_rows).collect()]
+    large = [F.col(group).eqNullSafe(F.lit(v).cast("long")) for v in heavy]
+    rest = distinct
+    for is_large in large:
+        rest = rest.where(~is_large)
+    every = rest.groupBy(group).applyInPandas(solve, schema)
+    for v, is_large in zip(heavy, large, strict=True):
+        every = every.unionByName(cover_lazy(distinct.where(is_large)).select(F.lit(v).cast("long").alias(group), "step", "patch_id", "gain", "covered"))
+    return every
 
 
 def summary(selection: DataFrame) -> DataFrame:

@@ -219,9 +219,26 @@ SELECT step, patch_id, gain, CAST(sum(gain) OVER (ORDER BY step) AS BIGINT) AS c
 FROM (SELECT DISTINCT step, w AS patch_id, g AS gain FROM r)"""
 
 
+def _grouped_cover_sql(inc: str) -> str:
+    """As _cover_sql, of all groups y at once; each has its own winner in a step."""
+    return f"""
+WITH RECURSIVE inc AS MATERIALIZED ({inc}),
+r(step, y, pid, e, w, g) AS (
+  SELECT 1::BIGINT, y, pid, e, arg_max(pid, struct_pack(n := n, p := -pid)) OVER (PARTITION BY y), max(n) OVER (PARTITION BY y)
+  FROM (SELECT y, pid, e, count(*) OVER (PARTITION BY y, pid) n FROM inc)
+  UNION ALL
+  SELECT step, y, pid, e, arg_max(pid, struct_pack(n := n, p := -pid)) OVER (PARTITION BY y), max(n) OVER (PARTITION BY y)
+  FROM (SELECT step + 1 AS step, y, pid, e, count(*) OVER (PARTITION BY y, pid) n FROM r
+        WHERE (y, e) NOT IN (SELECT (y, e) FROM r WHERE pid = w)))
+SELECT year, step, patch_id, gain, CAST(sum(gain) OVER (PARTITION BY year ORDER BY step) AS BIGINT) AS covered
+FROM (SELECT DISTINCT step, y AS year, w AS patch_id, g AS gain FROM r)"""
+
+
 def _instance_sql(name: str) -> str:
     if name == "customers_parts":
         return "SELECT DISTINCT o_custkey AS pid, l_partkey AS e FROM lineitem JOIN orders ON l_orderkey = o_orderkey"
+    if name == "documents_words":  # the selection does not hang on how words are hashed
+        return "SELECT DISTINCT doc_id AS pid, unnest(string_split(text, ' ')) AS e FROM documents"
     i = INSTANCES[name]
     return f"SELECT DISTINCT {i.patch} AS pid, {i.sql_element or i.element} AS e FROM {i.table}"
 
@@ -275,6 +292,8 @@ def oracle_sql() -> dict[str, str]:
         "bitset_members": ENC,
         "bitset_test": f"SELECT element_id, bool_or(patch_id = 1) AS is_set FROM ({ENC}) GROUP BY 1",
         "cover_summary": f"SELECT count(*) AS selected, CAST(sum(gain) AS BIGINT) AS covered, max(step) AS iterations FROM ({_cover_sql(_instance_sql('orders_parts'))})",
+        "cover_grouped": _grouped_cover_sql("SELECT DISTINCT CAST(year(l_shipdate) AS BIGINT) AS y, l_suppkey AS pid, l_partkey AS e FROM lineitem"),
+        "greedy_cover_documents_words": _cover_sql(_instance_sql("documents_words")),
         "patch_file_round_trip": "SELECT l_suppkey AS patch_id, l_partkey AS hash, l_extendedprice AS x, l_quantity AS y FROM lineitem",
         "synthetic_summary": "SELECT 6019::BIGINT AS n, 353::BIGINT AS selected, 6019::BIGINT AS covered, 353::BIGINT AS iterations",
     }

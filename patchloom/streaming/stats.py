@@ -1,7 +1,8 @@
 """Hash statistics over a stream of occurrences.
 
 State is one row per (patch, hash) with its least location, so duplicates of a patch count once however
-late they come; each trigger's changed rows are merged into a view of totals by hash.
+late they come.  Each trigger reads the whole state (complete mode) and adds it up by hash, so it costs
+as much as the state is large: set the trigger's interval by that, not by the rows of a batch.
 """
 
 from __future__ import annotations

@@ -62,9 +62,10 @@ def test_published_workloads(spark, p, universe, selected, first):
     assert "winners" in selector.profile.report()
 
 
-def test_grouped_cover_equals_a_cover_of_each_group(spark):
+@pytest.mark.parametrize("group_rows", [cover.GROUP_ROWS, 45, 1])
+def test_grouped_cover_equals_a_cover_of_each_group(spark, group_rows):
     rows = spark.createDataFrame([(g, p, h) for g in (1, 2) for p in range(6) for h in range(p, 3 * p + g)], "g long, patch_id long, hash long")
-    found = cover.cover_grouped(rows, "g")
+    found = cover.cover_grouped(rows, "g", group_rows)
     for g in (1, 2):
         assert steps(found.where(F.col("g") == g)) == steps(cover.cover_naive(rows.where(F.col("g") == g).select("patch_id", "hash").distinct()))
 
