@@ -38,13 +38,21 @@ _HINT = {"assign": r"(?i)(?:passw(?:or)?d|secret|token|api_?key)[\"']?\x20*[:=]"
 _SPANS = "array<struct<start: int, k: int, kind: string, end: int>>"
 
 
-def _spans(text: Column, k: int, kind: str, pattern: str, group: int, least: int) -> Column:
-    """The spans of a rule's leftmost non-overlapping matches whose group is long enough."""
+def _parts(text: Column, kind: str, pattern: str, group: int) -> Column:
+    """For each match of a rule: code points between the match before and it, of it, and of its group."""
     pieces = F.split(text, pattern, -1)
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     groups = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     parts = F.zip_with(F.slice(pieces, F.lit(1), F.size(matches)), F.arrays_zip(matches.alias("m"), groups.alias("g")), lambda p, x: F.struct(F.char_length(p).alias("gap"), F.char_length(x["m"]).alias("n"), F.char_length(x["g"]).alias("g")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("found"))
+    return F.when(F.regexp_like(text, F.lit(_HINT.get(kind, pattern))), parts).otherwise(F.array().cast("array<struct<gap: int, n: int, g: int>>"))
+
+
+def _spans(parts: Column, k: int, kind: str, least: int) -> Column:
+    """The spans of a rule's leftmost non-overlapping matches whose group is long enough.
+
+    A growing array is copied at each step, so n matches are added up in runs of about sqrt(n), whose
+    spans then move by what lies before the run.
+    """
 
     def step(state: Column, x: Column) -> Column:
         begin = state["at"] + x["gap"]
@@ -52,8 +60,14 @@ def _spans(text: Column, k: int, kind: str, pattern: str, group: int, least: int
         span = F.struct(begin.alias("start"), F.lit(k).alias("k"), F.lit(kind).alias("kind"), end.alias("end"))
         return F.struct(end.alias("at"), F.when(x["g"] >= least, F.concat(state["found"], F.array(span))).otherwise(state["found"]).cast(_SPANS).alias("found"))
 
-    found = F.aggregate(parts, start, step, lambda s: s["found"])
-    return F.when(F.regexp_like(text, F.lit(_HINT.get(kind, pattern))), found).otherwise(F.array().cast(_SPANS))
+    def move(state: Column, run: Column) -> Column:
+        moved = F.transform(run["found"], lambda s: F.struct((s["start"] + state["at"]).alias("start"), s["k"].alias("k"), s["kind"].alias("kind"), (s["end"] + state["at"]).alias("end")))
+        return F.struct((state["at"] + run["at"]).alias("at"), F.concat(state["found"], F.array(moved)).cast(f"array<{_SPANS}>").alias("found"))
+
+    width = F.ceil(F.sqrt(F.greatest(F.size(parts), F.lit(1)))).cast("int")
+    none = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("found"))
+    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size(parts) - 1, F.lit(0)), width), lambda c: F.aggregate(F.slice(parts, c + 1, width), none, step))
+    return F.aggregate(runs, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPANS}>").alias("found")), move, lambda s: F.flatten(s["found"]))
 
 
 def _joined(spans: Column) -> Column:
@@ -64,8 +78,8 @@ def _joined(spans: Column) -> Column:
 def scan_blobs(blobs: DataFrame) -> DataFrame:
     """blob, rule_version and findings of the texts in (blob, text)."""
     rules = [*BASE_RULES, *MORE_RULES]
-    columns = [_spans(F.col("text"), k, *r).alias(f"s{k}") for k, r in enumerate(rules)]
-    found = blobs.select("blob", *columns)
+    matched = blobs.select("blob", *(_parts(F.col("text"), kind, pattern, group).alias(f"p{k}") for k, (kind, pattern, group, _) in enumerate(rules)))
+    found = matched.select("blob", *(_spans(F.col(f"p{k}"), k, kind, least).alias(f"s{k}") for k, (kind, _, _, least) in enumerate(rules)))
     base = F.concat(*(F.col(f"s{k}") for k in range(len(BASE_RULES))))
     every = F.concat(*(F.col(f"s{k}") for k in range(len(rules))))
     counts = [F.size(f"s{k}").cast("long").alias(f"n_{r[0]}") for k, r in enumerate(BASE_RULES)]

@@ -178,6 +178,7 @@ def test_secret_spans(spark):
     pieces = ["password: ", "PassWD=", 'api_key = "', "APIKEY:'", "token=token:", "secret", "abcdef", "abcdefgh", "AKIA" + "B" * 16, "AKIA" + "C" * 15, "deadbeef" * 3, "0" * 23, "é漢\U0001f600 ", "\n", " ", "=", "'", "x"]
     rng = random.Random(2)
     texts = ["".join(rng.choices(pieces, k=rng.randrange(14))) for _ in range(400)] + ["".join(pieces)]
+    texts += ["".join(rng.choices(pieces, k=4000)) for _ in range(3)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     found = {r["path"]: r for r in secrets.scan([docs])[0].collect()}
     for i, text in enumerate(texts):
