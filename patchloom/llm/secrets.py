@@ -67,7 +67,8 @@ def _spans(parts: Column, k: int, kind: str, least: int) -> Column:
     width = F.ceil(F.sqrt(F.greatest(F.size(parts), F.lit(1)))).cast("int")
     none = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("found"))
     runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size(parts) - 1, F.lit(0)), width), lambda c: F.aggregate(F.slice(parts, c + 1, width), none, step))
-    return F.aggregate(runs, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPANS}>").alias("found")), move, lambda s: F.flatten(s["found"]))
+    found = F.aggregate(runs, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPANS}>").alias("found")), move, lambda s: F.flatten(s["found"]))
+    return F.when(F.size(parts) > 0, found).otherwise(F.array().cast(_SPANS))
 
 
 def _joined(spans: Column) -> Column:
