@@ -18,6 +18,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpoint
+
 #: Changes whenever a rule does, so that the ledger's old findings don't stand for new rules.
 RULE_VERSION = "1"
 #: Base kinds in their listed order: pattern, the group that counts, and its least length.
@@ -35,6 +37,10 @@ MORE_RULES = (
 )
 #: A text without a match of the second pattern has no finding of the rule; it is cheaper to look for.
 _HINT = {"assign": r"(?i)(?:passw(?:or)?d|secret|token|api_?key)[\"']?\x20*[:=]", "hex": r"[0-9a-f]{24}", "access": r"AKIA[A-Z0-9]{16}"}
+#: A blob is hot if it has over one in so many paths, so there are fewer hot blobs than that.
+HOT_BLOBS = 1000
+#: Bytes of a hot blob's spans, at most, for its findings to be broadcast.
+HOT_BYTES = 4096
 _SPANS = "array<struct<start: int, k: int, kind: string, end: int>>"
 
 
@@ -93,6 +99,19 @@ def addressed(files: DataFrame, path: str = "doc_id", text: str = "text") -> Dat
     return files.select(F.col(path).alias("path"), F.unhex(F.sha2(content, 256)).alias("blob"), content.alias("text"))
 
 
+def by_path(places: DataFrame, findings: DataFrame) -> DataFrame:
+    """The findings (one row a blob) of every row of `places` (path, blob), without a task for a hot blob.
+
+    Hot blobs with short spans are broadcast, fewer than HOT_BLOBS rows of about HOT_BYTES; the others
+    are joined by shuffle, where adaptive execution splits what is still skewed.
+    """
+    total = places.count()
+    hot = places.groupBy("blob").count().where(F.col("count") * HOT_BLOBS > total).select("blob")
+    light = checkpoint(findings.where(F.octet_length("spans") <= HOT_BYTES).join(F.broadcast(hot), "blob", "left_semi"))
+    rest = places.join(F.broadcast(light.select("blob")), "blob", "left_anti").join(findings, "blob")
+    return places.join(F.broadcast(light), "blob").unionByName(rest)
+
+
 def scan(versions: list[DataFrame], ledger: DataFrame | None = None, path: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(findings by path, ledger entries that are new) of every historical version in `versions`.
 
@@ -102,9 +121,9 @@ def scan(versions: list[DataFrame], ledger: DataFrame | None = None, path: str =
     # One row a blob: copies fall away in the map-side half of the aggregation.
     blobs = files.dropDuplicates(["blob"]).select("blob", "text")
     known = None if ledger is None else ledger.where(F.col("rule_version") == RULE_VERSION).dropDuplicates(["blob"])
-    new = scan_blobs(blobs if known is None else blobs.join(known.select("blob"), "blob", "left_anti"))
+    new = checkpoint(scan_blobs(blobs if known is None else blobs.join(known.select("blob"), "blob", "left_anti")))
     every = new if known is None else known.select(*new.columns).unionByName(new)
-    return files.select("path", "blob").join(every, "blob"), new
+    return by_path(checkpoint(files.select("path", "blob")), every), new
 
 
 def scan_with_ledger(files: DataFrame, ledger_path: str, path: str = "doc_id", text: str = "text") -> DataFrame:
