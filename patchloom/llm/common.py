@@ -53,6 +53,22 @@ def broadcast_below(df: DataFrame, rows: int) -> tuple[DataFrame, bool]:
     return (F.broadcast(df) if small else df), small
 
 
+def left_join_hot(rows: DataFrame, small: DataFrame, key: str, total: int, counts: DataFrame, spread: Column, most: int = 1000) -> DataFrame:
+    """`rows` left-joined with `small` (at most one row a key) without a task for a hot or null key.
+
+    `counts` holds (key, count) of `rows`.  Keys with over one in `most` of the `total` rows, so fewer
+    than `most`, are broadcast with what `small` has for them; their rows, and those with a null key,
+    are dealt by `spread` (a long hash of the row) in the shuffled join that serves the other keys.
+    """
+    other = [c for c in small.columns if c != key]
+    hot = counts.where(F.col(key).isNotNull() & (F.col("count") * most > total)).select(key)
+    light = checkpoint(hot.join(small, key, "left").select(key, F.lit(True).alias("_hot"), *(F.col(c).alias(f"_hot_{c}") for c in other)))
+    marked = rows.join(F.broadcast(light), key, "left")
+    salt = F.when(F.col("_hot") | F.col(key).isNull(), spread.bitwiseOR(F.lit(1))).otherwise(F.lit(0))
+    joined = marked.withColumn("_salt", salt).join(small.withColumn("_salt", F.lit(0).cast("long")), [key, "_salt"], "left")
+    return joined.select(*rows.columns, *(F.when(F.col("_hot"), F.col(f"_hot_{c}")).otherwise(F.col(c)).alias(c) for c in other))
+
+
 def fold(doc_id: Column | str = "doc_id") -> Column:
     """crc32 of the id's decimal text, mod 3; null ids count as remainder 1 (held out)."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % 3, F.lit(1))

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, left_join_hot
 
 THRESHOLD = 0.6
 #: Lines that speak of a licence.
@@ -120,10 +120,13 @@ def license_scan(files: DataFrame, path: str = "path", text: str = "text", templ
     speaking = per_file.where(F.col("speaks") & F.col("path").isNotNull()).select(directory(F.col("path")).alias("above"), F.struct("score", "own_license").alias("s"))
     of_dir = speaking.groupBy("above").agg(F.max("s").alias("s")).select("above", F.col("s.own_license").alias("dir_license"))
     # Directories, not files, look for their nearest licence.
-    dirs = own.select(directory(F.col("path")).alias("dir")).where("dir is not null").distinct()
+    files_of = checkpoint(own.select(directory(F.col("path")).alias("dir")).groupBy("dir").count())
+    dirs = files_of.where("dir is not null").select("dir")
     nearest = dirs.select("dir", F.inline(ancestors(F.col("dir")))).join(of_dir, "above").groupBy("dir").agg(F.max(F.struct("depth", "above", "dir_license")).alias("d"))
-    inherited = nearest.select("dir", F.col("d.dir_license").alias("inherited_license"), F.col("d.above").alias("inherited_from"))
+    inherited = checkpoint(nearest.select("dir", F.col("d.dir_license").alias("inherited_license"), F.col("d.above").alias("inherited_from")))
     every = own.select("path", "h", directory(F.col("path")).alias("dir"))
     found = per_file.select(F.col("path").alias("_path"), F.col("h").alias("_h"), "own_license", "score")
-    joined = every.join(found, (F.col("h") == F.col("_h")) & F.col("path").eqNullSafe(F.col("_path")), "left").join(inherited, "dir", "left")
+    known = every.join(found, (F.col("h") == F.col("_h")) & F.col("path").eqNullSafe(F.col("_path")), "left")
+    total = files_of.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+    joined = left_join_hot(known, inherited, "dir", total, files_of, F.xxhash64("path", "h"))
     return joined.select("path", "own_license", "score", "inherited_license", "inherited_from", F.coalesce("own_license", "inherited_license").alias("license"))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from patchloom.llm import decontaminate, langid, license_scan, linededup, mixing, quality, queries, secrets, sharding, simhash, toxicity
+from patchloom.llm.common import left_join_hot
 
 SF = "/root/testdata/sf0.01"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -382,3 +383,12 @@ def test_pipeline(spark, docs, local):
     for r in found:
         by[r["shard"]].append(r["slot"])
     assert len(by) == 16 and all(sorted(s) == list(range(len(s))) for s in by.values())
+
+
+def test_left_join_of_hot_and_null_keys(spark):
+    data = [("a" if i % 3 else ("b" if i % 2 else None), i) for i in range(300)] + [(f"k{i}", 1000 + i) for i in range(600)]
+    rows = spark.createDataFrame(data, "k string, i long")
+    known = {"a": "A"} | {f"k{i}": f"K{i}" for i in range(0, 600, 2)}
+    small = spark.createDataFrame(list(known.items()), "k string, v string")
+    found = left_join_hot(rows, small, "k", len(data), rows.groupBy("k").count(), F.xxhash64("i"), 20)
+    assert sorted(map(tuple, found.collect()), key=lambda r: r[1]) == [(k, i, known.get(k)) for k, i in sorted(data, key=lambda r: r[1])]
