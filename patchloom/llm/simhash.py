@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Texts, checkpoint, slices, text_bytes, unused
+from .common import Texts, checkpoint, left_join_hot, slices, text_bytes, unused
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 3
 #: Widths of the five blocks, high bits first.
@@ -249,9 +249,10 @@ def simhash_components(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataF
     fps = checkpoint(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda b: _add_fingerprints(b, "text", "fp", False), "doc_id long, fp long"))
     nodes = checkpoint(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     roots = components(candidate_links(nodes.select("fp"), bucket_rows)).withColumnRenamed("node", "fp")
-    linked = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    ids = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    table = linked.join(ids, "root").select("fp", "root", "component_id")
+    linked = checkpoint(nodes.join(roots, "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root")))
+    ids = checkpoint(linked.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("count")))
+    total = ids.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+    table = left_join_hot(linked.select("fp", "root"), ids.select("root", "component_id"), "root", total, ids, F.xxhash64("fp"))
     return fps.join(table, "fp").select("doc_id", F.col("fp").alias("fingerprint"), "root", "component_id")
 
 
