@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from patchloom.llm import decontaminate, mixing, quality, sharding, simhash
+from patchloom.llm import decontaminate, mixing, neardup, quality, sharding
 from patchloom.llm.common import read_table, shared_folder
 
 
@@ -20,8 +20,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
-    return simhash.near_dedup(docs)
+    """One document of each group stays; near-duplicates share 80 % of their 5-word shingles."""
+    return neardup.near_dedup(docs)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
