@@ -1,7 +1,7 @@
 """Mixing sources to target weights by a low-discrepancy schedule.
 
 Each source's documents are shuffled (ordered by a seeded hash) into a stream of words that is cut
-into blocks of equal size.  Slot k of the schedule takes the golden-ratio point frac(k * phi), maps
+into blocks of equal size, smaller ones in a source that would have under LEAST_BLOCKS.  Slot k of the schedule takes the golden-ratio point frac(k * phi), maps
 it through the cumulative weights to a source and ranks it among that source's slots; slot r of a
 source takes its block r, starting over at the end (a second epoch).  Every prefix of the schedule
 so holds each source close to its weight.
@@ -16,7 +16,7 @@ gives an empty result; columns of the input beside doc_id, text and source are i
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,6 +26,8 @@ WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2.0
 #: Slots of the schedule, about; with it the words of a block follow the corpus, to BLOCK_WORDS at most.
 SLOTS, BLOCK_WORDS = 1 << 18, 1 << 16
+#: Blocks of a source, at least (or one a word): a slot more or less is a hundredth of an epoch.
+LEAST_BLOCKS = 100
 GOLDEN = 0.6180339887498949
 #: Slots whose ranks are counted in one task.
 SLOT_RUN = 1 << 12
@@ -57,6 +59,11 @@ def source_targets(sized: DataFrame, share: float = SHARE, most: float = MOST, w
     return levels.withColumn("final", F.coalesce(first["level"], F.max("cap").over(every))).select("src", "source_size", F.least("cap", F.col("final") * F.col("w")).alias("target"))
 
 
+def source_block(block: int) -> Column:
+    """The words of a source's blocks: `block`, or less for a small source."""
+    return F.least(F.lit(block), F.greatest(F.lit(1), F.ceil(F.col("source_size") / LEAST_BLOCKS))).cast("long")
+
+
 def schedule(targets: DataFrame, block: int) -> DataFrame:
     """(slot, src, n, b): slot `slot` takes block b of its source, for the n-th time from 0.
 
@@ -64,7 +71,7 @@ def schedule(targets: DataFrame, block: int) -> DataFrame:
     beyond MOST full epochs are void.
     """
     spark = targets.sparkSession
-    t = targets.where("target > 0 and source_size > 0").withColumn("blocks", F.ceil(F.col("source_size") / block))
+    t = targets.where("target > 0 and source_size > 0").withColumn("blocks", F.ceil(F.col("source_size") / source_block(block)))
     t = t.withColumn("want", F.col("target") * F.col("blocks") / F.col("source_size"))
     edges = Window.orderBy("src")
     t = t.withColumn("high", F.sum("want").over(edges)).withColumn("low", F.coalesce(F.lag("high").over(edges), F.lit(0.0)))
@@ -108,12 +115,14 @@ def mix_sources(docs: DataFrame, share: float = SHARE, most: float = MOST, weigh
     times = schedule(targets, block).groupBy("src", "b").agg(F.count("*").alias("times"))
     # src goes with its key range, so equal keys of two sources stay apart.
     placed = running(sized, ["src"], "key", ["doc_id", "size", "crc"], buckets_for(n or 0), F.col("size"), "begin")
-    pieces = placed.select("*", F.explode(F.when(F.col("size") > 0, F.sequence(F.floor(F.col("begin") / block), F.floor((F.col("begin") + F.col("size") - 1) / block))).otherwise(F.array(F.lit(-1).cast("long")))).alias("b"))
-    overlap = F.least(F.col("begin") + F.col("size"), (F.col("b") + 1) * block) - F.greatest(F.col("begin"), F.col("b") * block)
+    few, _ = broadcast_below(targets, MANY_SOURCES)  # one row a source
+    placed = placed.join(few.select("src", source_block(block).alias("block")), "src")
+    each = F.col("block")
+    pieces = placed.select("*", F.explode(F.when(F.col("size") > 0, F.sequence(F.floor(F.col("begin") / each), F.floor((F.col("begin") + F.col("size") - 1) / each))).otherwise(F.array(F.lit(-1).cast("long")))).alias("b"))
+    overlap = F.least(F.col("begin") + F.col("size"), (F.col("b") + 1) * each) - F.greatest(F.col("begin"), F.col("b") * each)
     taken = pieces.join(times, ["src", "b"], "left").groupBy("src", "doc_id", "crc", "size", "begin").agg(F.sum(F.when(F.col("size") > 0, overlap * F.coalesce("times", F.lit(0))).otherwise(0)).alias("taken"), (F.count("*")).alias("pieces"))
     # Empty documents with equal keys begin at the same word: as many rows as went in.
     rows = taken.withColumn("copies", F.when(F.col("size") > 0, F.lit(1)).otherwise(F.col("pieces"))).select("src", "doc_id", "crc", "size", "taken", F.explode(F.expr("sequence(1L, copies)")).alias("_copy")).drop("_copy")
-    few, _ = broadcast_below(targets, MANY_SOURCES)  # one row a source
     return rows.join(few, "src").select("doc_id", "crc", "size", "src", F.col("source_size").cast("long").alias("source_size"), "target", F.col("taken").cast("long").alias("taken"))
 
 
