@@ -11,8 +11,8 @@ around a link is extended both ways, and its lines are deleted in the later plac
 
 A line deleted always equals an earlier one, so the first copy of everything stays.
 
-Edge cases: lines are compared without blanks at their ends, and lines without a word match any
-other such line but add no words; null texts have no lines; null ids sort first; rows that repeat an
+Edge cases: lines are compared without blanks at their ends; lines without a word have no place in
+all this (copies may differ in them), and those between two deleted lines of a run go with it; null texts have no lines; null ids sort first; rows that repeat an
 id and a text count as one document and get the same result; an empty table gives an empty result;
 columns beside doc_id and text are ignored, and kept by dedup_lines
 (but one named `removed`).
@@ -31,7 +31,7 @@ RUN_WORDS, MATCH_WORDS = 50, 40
 
 
 def line_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """For each text the hashes of its trimmed lines and their words."""
+    """For each text the hashes of its trimmed lines and their words; lines without a word have hash 0."""
     hashes, words = [], []
     for a, b in slices(offsets):
         t = Texts(data, offsets[a : b + 1])
@@ -78,9 +78,16 @@ def fingerprints(h: np.ndarray, n: np.ndarray, run_words: int = RUN_WORDS, match
 def _lines(batches):
     for batch in batches:
         h, n = line_hashes(*text_bytes(batch.column("text")))
+        at = [np.flatnonzero(x) for x in n]  # lines with words
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("h"), pa.array([x.view(np.int64) for x in h], pa.list_(pa.int64())), pa.array([x.astype(np.int32) for x in n], pa.list_(pa.int32()))],
-            names=["doc_id", "h", "lines", "words"],
+            [
+                batch.column("doc_id"),
+                batch.column("h"),
+                pa.array([x[k].view(np.int64) for x, k in zip(h, at, strict=True)], pa.list_(pa.int64())),
+                pa.array([x[k].astype(np.int32) for x, k in zip(n, at, strict=True)], pa.list_(pa.int32())),
+                pa.array([k.astype(np.int32) for k in at], pa.list_(pa.int32())),
+            ],
+            names=["doc_id", "h", "lines", "words", "at"],
         )
 
 
@@ -116,12 +123,13 @@ def _extend(match_words: int):
     def run(batches):
         for batch in batches:
             rows, found = [], []
-            columns = [batch.column(c).to_pylist() for c in ("lines", "words", "lines_b", "shift", "linked")]
-            for i, (a, w, b, shift, linked) in enumerate(zip(*columns, strict=True)):
+            columns = [batch.column(c).to_pylist() for c in ("lines", "words", "at", "lines_b", "shift", "linked")]
+            for i, (a, w, at, b, shift, linked) in enumerate(zip(*columns, strict=True)):
                 hit = matched_lines(np.array(a, np.int64), np.array(w, np.int64), np.array(b, np.int64), shift, linked, match_words)
                 if len(hit):
                     rows.append(i)
-                    found.append(hit.astype(np.int32))
+                    runs = np.split(hit, np.flatnonzero(np.diff(hit) > 1) + 1)
+                    found.append(np.concatenate([np.arange(at[r[0]], at[r[-1]] + 1, dtype=np.int32) for r in runs]))
             index = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(index), batch.column("h").take(index), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "h", "found"])
 
@@ -131,7 +139,7 @@ def _extend(match_words: int):
 def repeated_lines(docs: DataFrame, run_words: int = RUN_WORDS, match_words: int = MATCH_WORDS) -> DataFrame:
     """doc_id, h (hash of the text) and the sorted positions `removed` of every document with repeated runs."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
-    lines = own.mapInArrow(_lines, "doc_id long, h long, lines array<long>, words array<int>")
+    lines = own.mapInArrow(_lines, "doc_id long, h long, lines array<long>, words array<int>, at array<int>")
     lines = checkpoint(lines.dropDuplicates(["doc_id", "h"]))
     grams = lines.mapInArrow(_grams(run_words, match_words), "key long, doc_id long, h long, pos int")
     place = F.struct("doc_id", "h", "pos")
@@ -141,11 +149,11 @@ def repeated_lines(docs: DataFrame, run_words: int = RUN_WORDS, match_words: int
     rows = to.groupBy("doc_id", "h", "id_b", "h_b", "shift").agg(F.collect_set("pos").alias("linked"))
     same = F.col("doc_id").eqNullSafe(F.col("id_b")) & (F.col("h") == F.col("h_b"))
     rows = checkpoint(rows.where(~same | (F.col("shift") > 0)))
-    mine = lines.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "lines", "words")
+    mine = lines.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "lines", "words", "at")
     theirs = lines.select(F.col("doc_id").alias("_id_b"), F.col("h").alias("_h_b"), F.col("lines").alias("lines_b"))
     both = rows.join(mine, (F.col("h") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_h", "_id")
     both = both.join(theirs, (F.col("h_b") == F.col("_h_b")) & F.col("id_b").eqNullSafe(F.col("_id_b"))).drop("_h_b", "_id_b")
-    found = both.select("doc_id", "h", "lines", "words", "lines_b", "shift", "linked").mapInArrow(_extend(match_words), "doc_id long, h long, found array<int>")
+    found = both.select("doc_id", "h", "lines", "words", "at", "lines_b", "shift", "linked").mapInArrow(_extend(match_words), "doc_id long, h long, found array<int>")
     return found.groupBy("doc_id", "h").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))).alias("removed"))
 
 
