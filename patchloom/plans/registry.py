@@ -94,6 +94,11 @@ def reverse_map(spark, sf_dir):
     return index.reverse_map(words, words.select("element_id").where("element_id % 3 = 0"))
 
 
+def reverse_map_all(spark, sf_dir):
+    words = index.dictionary(incidences(spark, sf_dir))
+    return index.reverse_map(words, words.select("element_id"))
+
+
 def patches_of(spark, sf_dir):
     """Every second element, and one past the end, which no patch holds."""
     encoded = _encoded(spark, sf_dir)
@@ -103,6 +108,15 @@ def patches_of(spark, sf_dir):
     return found.select("element_id", _joined("patches").alias("patches"), F.size("patches").cast("long").alias("n"))
 
 
+def patches_of_all(spark, sf_dir):
+    """Every element, and one past the end, which no patch holds."""
+    encoded = _encoded(spark, sf_dir)
+    ids = encoded.select("element_id").distinct()
+    wanted = ids.union(ids.agg(F.max("element_id") + 1))
+    found = index.patches_of(index.inverted_index(encoded), wanted)
+    return found.select("element_id", _joined("patches").alias("patches"), F.size("patches").cast("long").alias("n"))
+
+
 def patch_lookup(spark, sf_dir):
     """Even patches, and one that does not exist."""
     encoded = _encoded(spark, sf_dir)
@@ -111,6 +125,14 @@ def patch_lookup(spark, sf_dir):
     return index.patch_lookup(index.patch_csr(encoded), wanted).select("patch_id", "size")
 
 
+def patch_lookup_all(spark, sf_dir):
+    """Every patch, and one that does not exist."""
+    encoded = _encoded(spark, sf_dir)
+    ids = encoded.select("patch_id").distinct()
+    wanted = ids.union(ids.agg(F.max("patch_id") + 1))
+    return index.patch_lookup(index.patch_csr(encoded), wanted).select("patch_id", "size")
+
+
 def hash_stats_all(spark, sf_dir):
     return stats.hash_stats(stats.require_locations(occurrences(spark, sf_dir))).select("hash", "n_patches", "rep.x", "rep.y")
 
@@ -254,7 +276,7 @@ def queries() -> dict[str, Query]:
         "hash_degree": lambda s, d: stats.hash_degree(incidences(s, d)),
         "hash_min_location": lambda s, d: stats.min_location(occurrences(s, d)).select("hash", "rep.x", "rep.y"),
     }
-    named = (dictionary_encode, reverse_map, patch_csr, inverted_index, patches_of, patch_lookup, hash_stats_topk, hash_stats_all, stats_records, newly_covered, covered_union, intersect_count, gain_after_k, best_patch, contiguous_slice, element_shard, bitset_popcount, bitset_members, bitset_test, cover_summary, cover_grouped, patch_file_round_trip, synthetic_summary)
+    named = (dictionary_encode, reverse_map, reverse_map_all, patch_csr, inverted_index, patches_of, patches_of_all, patch_lookup, patch_lookup_all, hash_stats_topk, hash_stats_all, stats_records, newly_covered, covered_union, intersect_count, gain_after_k, best_patch, contiguous_slice, element_shard, bitset_popcount, bitset_members, bitset_test, cover_summary, cover_grouped, patch_file_round_trip, synthetic_summary)
     plain |= {f.__name__: f for f in named}
     plain |= {f"greedy_cover_{c}": _cover(c, "patch") for c in (*COVERS, "documents_words")}
     return plain | {f"greedy_cover_{c}_by_element": _cover(c, "element") for c in COVERS}
@@ -278,6 +300,9 @@ def oracle_sql() -> dict[str, str]:
         "inverted_index": f"SELECT element_id, patches FROM ({inverted})",
         "patches_of": f"SELECT element_id, patches, n FROM ({inverted}) WHERE element_id % 2 = 0 UNION ALL SELECT last + 1, '', 0 FROM ({cells})",
         "patch_lookup": f"SELECT patch_id, count(*) AS size FROM ({INC}) WHERE patch_id % 2 = 0 GROUP BY 1 UNION ALL SELECT max(patch_id) + 1, 0 FROM ({INC})",
+        "reverse_map_all": f"SELECT element_id, hash FROM ({DICT})",
+        "patches_of_all": f"SELECT element_id, patches, n FROM ({inverted}) UNION ALL SELECT last + 1, '', 0 FROM ({cells})",
+        "patch_lookup_all": f"SELECT patch_id, count(*) AS size FROM ({INC}) GROUP BY 1 UNION ALL SELECT max(patch_id) + 1, 0 FROM ({INC})",
         "hash_stats_all": f"SELECT hash, n_patches, rep.x AS x, rep.y AS y FROM ({STATS})",
         "hash_stats_topk": f"SELECT hash, n_patches, rep.x AS x, rep.y AS y FROM ({STATS}) ORDER BY n_patches DESC, hash LIMIT {TOP}",
         "stats_records": f"SELECT hash, format('{{:016x}}', hash) || chr(9) || format('{{:20d}}', n_patches) || chr(9) || format('{{:25.17e}}', rep.x) || chr(9) || format('{{:25.17e}}', rep.y) AS record FROM ({STATS})",
