@@ -69,6 +69,30 @@ def left_join_hot(rows: DataFrame, small: DataFrame, key: str, total: int, count
     return joined.select(*rows.columns, *(F.when(F.col("_hot"), F.col(f"_hot_{c}")).otherwise(F.col(c)).alias(c) for c in other))
 
 
+def drop_rows(docs: DataFrame, grouped: DataFrame, most: int = 200_000) -> DataFrame:
+    """One row of `docs` for each root in `grouped` (doc_id, h, root; one row each): the smallest id, null ids last.
+
+    h is xxhash64 of the text.  The rows that go leave by an anti-join: broadcast if there are at most
+    `most` of them, so that the texts stay where they are, else shuffled by id and text, which no group of
+    copies makes hot.  Of rows that repeat an id and a text one stays.
+    """
+    found = checkpoint(grouped)
+    own_h, id_, h = unused(docs, "own_h", "drop_id", "drop_h")
+    order = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "h")
+    best = found.groupBy("root").agg(F.min(order).alias("o"), F.count("*").alias("count"))
+    best = checkpoint(best.where("count > 1"))
+    # A hot root's keeper is broadcast; the others meet their rows by shuffle.
+    total = found.count()
+    marked = left_join_hot(found, best.select("root", F.col("o.doc_id").alias("best_id"), F.col("o.h").alias("best_h"), F.lit(True).alias("some")), "root", total, best, F.xxhash64("doc_id", "h"))
+    other = F.col("some") & ~(F.col("doc_id").eqNullSafe(F.col("best_id")) & F.col("h").eqNullSafe(F.col("best_h")))
+    gone = checkpoint(marked.where(other).select(F.col("doc_id").alias(id_), F.col("h").alias(h)).distinct())
+    gone, _ = broadcast_below(gone, most)
+    kept = docs.withColumn(own_h, F.xxhash64("text")).join(gone, (F.col(own_h) == F.col(h)) & F.col("doc_id").cast("long").eqNullSafe(F.col(id_)), "left_anti")
+    if found.groupBy("doc_id", "h").count().where("count > 1").limit(1).count():
+        kept = kept.dropDuplicates(["doc_id", own_h])
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def fold(doc_id: Column | str = "doc_id") -> Column:
     """crc32 of the id's decimal text, mod 3; null ids count as remainder 1 (held out)."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % 3, F.lit(1))

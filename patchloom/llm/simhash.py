@@ -12,6 +12,9 @@ A bucket yields links from each member to the first of its group, never all pair
 over BUCKET_ROWS is cut into chunks of which each two meet in one task.  Components follow from the
 links by alternating star contraction with reliable checkpoints.
 
+The contract's 3 bits of 3-word shingles miss most near copies at a similarity of 0.8; the pipeline's
+stage is neardup.near_dedup, which searches by similarity with the fingerprints and tables made here.
+
 Edge cases: a null or empty text has fingerprint zero, linked like any other; repeated rows are one
 node and keep their own result rows; null ids get the smallest non-null id of their component, or
 null if there is none; an empty table gives an empty result.
@@ -24,11 +27,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import Texts, checkpoint, left_join_hot, slices, text_bytes, unused
+from .common import Texts, checkpoint, drop_rows, left_join_hot, slices, text_bytes
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 3
 #: Widths of the five blocks, high bits first.
@@ -38,6 +40,8 @@ PIVOTS = 24
 BUCKET_ROWS = 20_000
 #: Edges that a file of a checkpointed pass holds, about.
 EDGES_PER_FILE = 100_000
+#: Edges up to which the smallest neighbours are broadcast; beyond it only those of hubs are.
+HUB_EDGES = 200_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -89,9 +93,9 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
 
 
-def _add_fingerprints(batches, text: str, name: str, keep_text: bool):
+def _add_fingerprints(batches, text: str, name: str):
     for batch in batches:
-        rest = [c for c in batch.schema.names if c != name and (keep_text or c != text)]
+        rest = [c for c in batch.schema.names if c not in (name, text)]
         fp = pa.array(fingerprints(*text_bytes(batch.column(text))).view(np.int64))
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), fp], names=[*rest, name])
 
@@ -196,7 +200,9 @@ def candidate_links(nodes: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFra
     masks = _block_pairs()
     keys = F.array(*(F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("m")) for k, m in enumerate(masks)))
     dealt = nodes.select("fp", F.inline(keys))
-    counted = dealt.withColumn("n", F.count("*").over(Window.partitionBy("k", "m"))).where("n > 1")
+    # Counted by partial aggregation and joined back, so a hot bucket never comes into one task whole:
+    # the join streams it, and adaptive execution splits it.
+    counted = dealt.join(dealt.groupBy("k", "m").agg(F.count("*").alias("n")).where("n > 1"), ["k", "m"])
     chunks = F.ceil(F.col("n") / bucket_rows).cast("int")
     # Chunk c of a large bucket meets every chunk: tasks (c, 0..c) as the later, (c.., c) as the earlier.
     own = F.pmod(F.xxhash64("fp"), chunks).cast("int")
@@ -215,8 +221,15 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     step does so for the smaller neighbours.  Each pass is checkpointed; it ends when nothing changes.
     """
 
-    def lowest(edges: DataFrame) -> DataFrame:
-        return edges.groupBy("u").agg(F.min("v").alias("low"))
+    def with_lowest(edges: DataFrame, n: int, own: bool) -> DataFrame:
+        """The edges with the smallest neighbour `low` of u (u itself too if `own`); a hub is no task's alone."""
+        low = edges.groupBy("u").agg(F.min("v").alias("low"), F.count("*").alias("count"))
+        if own:
+            low = low.withColumn("low", F.least("u", "low"))
+        if n <= HUB_EDGES:  # so at most twice as many nodes
+            return edges.join(F.broadcast(low.drop("count")), "u")
+        low = checkpoint(low)
+        return left_join_hot(edges, low.drop("count"), "u", n, low, F.xxhash64("v"))
 
     def state(edges: DataFrame):
         r = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -230,10 +243,9 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         if not before[0]:
             break
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = lowest(both).withColumn("low", F.least("u", "low"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).where("u <> v").distinct()
-        low = lowest(large)
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v")).union(low.select("u", F.col("low").alias("v")))
+        large = with_lowest(both, 2 * before[0], True).where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).where("u <> v").distinct()
+        near = with_lowest(large, 2 * before[0], False)
+        small = near.select(F.inline(F.array(F.struct(F.col("v").alias("u"), F.col("low").alias("v")), F.struct("u", F.col("low").alias("v")))))
         edges = checkpoint(small.where("u <> v").distinct().coalesce(max(1, files)))
         after = state(edges)
         if after == before:
@@ -246,29 +258,24 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 def simhash_components(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """doc_id, fingerprint (long), root (smallest fingerprint reached) and component_id of every document."""
-    fps = checkpoint(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda b: _add_fingerprints(b, "text", "fp", False), "doc_id long, fp long"))
-    nodes = checkpoint(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    fps = checkpoint(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda b: _add_fingerprints(b, "text", "fp"), "doc_id long, fp long"))
+    nodes = checkpoint(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("count")))
     roots = components(candidate_links(nodes.select("fp"), bucket_rows)).withColumnRenamed("node", "fp")
-    linked = checkpoint(nodes.join(roots, "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root")))
-    ids = checkpoint(linked.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("count")))
-    total = ids.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
-    table = left_join_hot(linked.select("fp", "root"), ids.select("root", "component_id"), "root", total, ids, F.xxhash64("fp"))
-    return fps.join(table, "fp").select("doc_id", F.col("fp").alias("fingerprint"), "root", "component_id")
+    linked = checkpoint(nodes.join(roots, "fp", "left").select("fp", "first_id", "count", F.coalesce("root", "fp").alias("root")))
+    ids = checkpoint(linked.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("count"), F.sum("count").alias("rows")))
+    n, total = ids.agg(F.coalesce(F.sum("count"), F.lit(0)), F.coalesce(F.sum("rows"), F.lit(0))).first()
+    table = left_join_hot(linked.select("fp", "root"), ids.select("root", "component_id"), "root", n, ids, F.xxhash64("fp"))
+    found = left_join_hot(fps, table, "fp", total, nodes, F.xxhash64("doc_id"))
+    return found.select("doc_id", F.col("fp").alias("fingerprint"), "root", "component_id")
 
 
-def near_dedup(docs: DataFrame) -> DataFrame:
-    """One document of each group, with all its columns: the one with the smallest id (null ids last).
+def fingerprint_dedup(docs: DataFrame) -> DataFrame:
+    """One document of each component of fingerprints, with all its columns: the one with the smallest id (null ids last).
 
-    Rows that repeat an id and a fingerprint are settled among themselves, so one row stays.
+    Rows that repeat an id and a text are settled among themselves, so one row stays.  neardup.near_dedup
+    is the wider search, by similarity.
     """
-    found = checkpoint(simhash_components(docs))
-    own_fp, id_, fp = unused(docs, "own_fp", "keep_id", "keep_fp")
-    order = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "fingerprint")
-    keepers = found.groupBy("root").agg(F.min(order).alias("o")).select(F.col("o.doc_id").alias(id_), F.col("o.fingerprint").alias(fp))
-    repeated = found.groupBy("doc_id", "fingerprint").count().where("count > 1").limit(1).count()
-    schema = T.StructType([*docs.schema.fields, T.StructField(own_fp, T.LongType())])
-    tagged = docs.mapInArrow(lambda b: _add_fingerprints(b, "text", own_fp, True), schema)
-    kept = tagged.join(keepers, (F.col(own_fp) == F.col(fp)) & F.col("doc_id").cast("long").eqNullSafe(F.col(id_)), "left_semi")
-    if repeated:
-        kept = kept.dropDuplicates(["doc_id", own_fp])
-    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
+    found = checkpoint(narrow.mapInArrow(lambda b: _add_fingerprints(b, "text", "fp"), "doc_id long, h long, fp long"))
+    roots = components(candidate_links(found.select("fp").distinct())).withColumnRenamed("node", "fp")
+    return drop_rows(docs, found.join(roots, "fp", "left").select("doc_id", "h", F.coalesce("root", "fp").alias("root")))

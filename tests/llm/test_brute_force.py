@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from patchloom.llm import decontaminate, langid, license_scan, linededup, mixing, quality, queries, secrets, sharding, simhash, toxicity
+from patchloom.llm import decontaminate, langid, license_scan, linededup, mixing, neardup, quality, queries, secrets, sharding, simhash, toxicity
 from patchloom.llm.common import left_join_hot
 
 SF = "/root/testdata/sf0.01"
@@ -259,7 +259,7 @@ def test_simhash_components(docs, local):
     found = {r["doc_id"]: r for r in simhash.simhash_components(docs).collect()}
     assert {i: found[i]["fingerprint"] & (1 << 64) - 1 for i in found} == dict(zip((r["doc_id"] for r in local), fps, strict=True))
     assert {i: found[i]["component_id"] for i in found} == expected
-    assert {r[0] for r in simhash.near_dedup(docs).select("doc_id").collect()} == set(expected.values())
+    assert {r[0] for r in simhash.fingerprint_dedup(docs).select("doc_id").collect()} == set(expected.values())
 
 
 def link(fps, ids):
@@ -371,8 +371,10 @@ def test_pipeline(spark, docs, local):
     labels, benchmark = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("labels", "benchmark"))
     out = corpus_pipeline.run(spark, SF)
     left = quality.quality_scores(docs, labels).where("kept").select("doc_id").join(docs, "doc_id").select(docs.columns).cache()
-    first = {r["component_id"] for r in simhash.simhash_components(left).collect()}
-    left = left.where(left["doc_id"].isin(list(first))).cache()
+    groups = defaultdict(list)
+    for r in neardup.near_components(left).collect():
+        groups[r["root"]].append(r["doc_id"])
+    left = left.where(left["doc_id"].isin([min(g) for g in groups.values()])).cache()
     bad = {r["doc_id"] for r in decontaminate.leaks(left, benchmark).collect()}
     left = left.where(~left["doc_id"].isin(list(bad))).cache()
     copies = {r["doc_id"]: int(r["taken"] / r["size"] + 0.5) for r in mixing.mix_sources(left).collect() if r["size"]}

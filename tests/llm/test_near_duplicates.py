@@ -2,7 +2,53 @@
 
 import random
 
+import numpy as np
+import pytest
+
 import corpus_pipeline
+from patchloom.llm import neardup
+
+
+@pytest.mark.parametrize("chunk", [neardup.CHUNK, 3])
+def test_groups_whose_pairs_are_partly_near(spark, documents, chunk):
+    """A chain of edits of one text: neighbours are near, ends are not; also with buckets cut into small chunks."""
+    rng, texts = random.Random(4), []
+    for g in range(3):
+        words = [f"g{g}w{k}" for k in range(200)]
+        for _ in range(25):
+            words = list(words)
+            for k in rng.sample(range(200), rng.choice((2, 3, 9))):
+                words[k] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(words))
+    rng.shuffle(texts)
+    sets = [{tuple(w[i : i + 5]) for i in range(196)} for w in map(str.split, texts)]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    found: dict = {}
+    for r in neardup.near_components(documents([(i, t, "en", "a") for i, t in enumerate(texts)]), chunk).collect():
+        found.setdefault(r["root"], set()).add(r["doc_id"])
+    expected: dict = {}
+    for i, r in enumerate(root):
+        expected.setdefault(r, set()).add(i)
+    assert sorted(map(sorted, found.values())) == sorted(map(sorted, expected.values())) and len(expected) > 5
+
+
+def test_pivots_discard_no_near_pair_and_most_others():
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 63, (20, neardup.WIDE), dtype=np.uint64)
+    fps = np.repeat(base, 10, axis=0)
+    for row in fps:
+        for bit in rng.choice(512, 30, replace=False):
+            row[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+    table = neardup.distance_table(fps)
+    gap = np.abs(table[:, None, :] - table[None, :, :]).max(axis=2)
+    apart = np.bitwise_count(fps[:, None, :] ^ fps[None, :, :]).sum(axis=2)
+    assert (gap <= apart).all() and (gap[apart > neardup.RADIUS] > neardup.RADIUS).mean() > 0.8
 
 
 def test_stage_removes_all_pairs_at_jaccard_080(spark, documents, empty):

@@ -40,7 +40,7 @@ def test_row_counts(spark, odd, labels, benchmark):
 def test_empty_tables(spark, empty, labels, benchmark):
     for name, (df, _) in every(spark, empty, labels, benchmark).items():
         assert df.count() == 0, name
-    for df in (quality.quality_filter(empty, labels), simhash.near_dedup(empty), decontaminate.decontaminate(empty, benchmark), mixing.mix_corpus(empty), sharding.shard_corpus(empty)):
+    for df in (quality.quality_filter(empty, labels), simhash.fingerprint_dedup(empty), decontaminate.decontaminate(empty, benchmark), mixing.mix_corpus(empty), sharding.shard_corpus(empty)):
         assert df.count() == 0
 
 
@@ -103,7 +103,7 @@ def test_simhash_of_odd_rows(odd):
     found = simhash.simhash_components(odd).collect()
     blank = {r["component_id"] for r in found if r["fingerprint"] == 0}
     assert blank == {3} and sum(r["fingerprint"] == 0 for r in found) == 4
-    kept = simhash.near_dedup(odd)
+    kept = simhash.fingerprint_dedup(odd)
     assert kept.columns == odd.columns and kept.count() == len({r["root"] for r in found})
 
 
