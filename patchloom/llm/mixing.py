@@ -33,6 +33,8 @@ GOLDEN = 0.6180339887498949
 SLOT_RUN = 1 << 12
 #: Sources whose targets may be broadcast.
 MANY_SOURCES = 100_000
+#: Keys of repeated rows that may be broadcast.
+MANY_REPEATED = 200_000
 
 
 def source_targets(sized: DataFrame, share: float = SHARE, most: float = MOST, weights: tuple = WEIGHTS) -> DataFrame:
@@ -129,7 +131,8 @@ def mix_sources(docs: DataFrame, share: float = SHARE, most: float = MOST, weigh
 def mix_corpus(docs: DataFrame, share: float = SHARE, most: float = MOST) -> DataFrame:
     """The mix as whole documents with all their columns: a document taken twice is there twice.
 
-    Where the edge of a block cuts a document, it is in if at least half of its words are taken.
+    Where the edge of a block cuts a document, it is in if at least half of its words are taken.  Rows that
+    repeat an id, a text and a source together stand for exactly the copies that the mix takes of them.
     """
     mixed = mix_sources(docs, share, most).withColumn("copies", F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("int"))
     # Rows that repeat an id, a text and a source are one key: their copies add up.
@@ -138,7 +141,11 @@ def mix_corpus(docs: DataFrame, share: float = SHARE, most: float = MOST) -> Dat
     per_key = per_key.select(F.col("doc_id").alias(id_), F.col("crc").alias(crc), F.col("src").alias(of), copies, rows)
     src = F.when(F.col("source").isNull(), "1").otherwise(F.concat(F.lit("0"), F.col("source").cast("string")))
     same = F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.crc32(F.coalesce("text", F.lit(""))) == F.col(crc)) & (src == F.col(of))
-    joined = docs.join(per_key, same)
-    # Of `rows` equal rows each stands for copies / rows, rounded up: never fewer than the mix takes.
-    times = F.sequence(F.lit(1), F.ceil(F.col(copies) / F.col(rows)).cast("int"))
-    return joined.withColumn(copy, F.explode(times)).select(*(F.col(f"`{c}`") for c in docs.columns))
+    per_key = checkpoint(per_key)
+    every = docs.join(per_key.withColumn(copies, F.expr(f"{copies} div {rows}")).where(F.col(copies) > 0), same)
+    # Of `rows` equal rows each stands for copies / rows, rounded down; one of them makes up the rest.
+    rest = per_key.withColumn(copies, F.col(copies) % F.col(rows)).where(F.col(copies) > 0)
+    rest, _ = broadcast_below(rest, MANY_REPEATED)
+    if not rest.isEmpty():
+        every = every.unionByName(docs.join(rest, same).dropDuplicates([id_, crc, of]))
+    return every.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*(F.col(f"`{c}`") for c in docs.columns))
