@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+import sys
 import tempfile
+import types
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -98,6 +101,17 @@ def fold(doc_id: Column | str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % 3, F.lit(1))
 
 
+def cached(name: str, make: Callable):
+    """What `make` gives, made once in a process.
+
+    It is kept outside this subpackage, whose functions are pickled with the globals that they use.
+    """
+    box = sys.modules.setdefault("_patchloom_tables", types.ModuleType("_patchloom_tables"))
+    if not hasattr(box, name):
+        setattr(box, name, make())
+    return getattr(box, name)
+
+
 # --- texts as bytes ---------------------------------------------------------------------------
 
 
@@ -129,16 +143,18 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES):
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
-_POWERS: list = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def _powers(n: int) -> list:
-    if len(_POWERS[0]) <= n:
-        for k, base in enumerate((_MULTIPLIER, pow(_MULTIPLIER, -1, 1 << 64))):
+    """The powers of the multiplier and of its inverse, up to n at least."""
+    held = cached("powers", list)
+    if not held or len(held[0]) <= n:
+        held.clear()
+        for base in (_MULTIPLIER, pow(_MULTIPLIER, -1, 1 << 64)):
             steps = np.full(n + 1, base, np.uint64)
             steps[0] = 1
-            _POWERS[k] = np.cumprod(steps, dtype=np.uint64)
-    return _POWERS
+            held.append(np.cumprod(steps, dtype=np.uint64))
+    return held
 
 
 def mix64(h: np.ndarray) -> np.ndarray:
@@ -148,24 +164,54 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+class Spans:
+    """Hashes of spans of an integer array: polynomials by prefix sums, then mixed with the length."""
+
+    def __init__(self, values: np.ndarray):
+        terms = (values.astype(np.uint64) + np.uint64(1)) * _powers(len(values))[0][: len(values)]
+        self._prefix = np.concatenate((np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)))
+
+    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        h = (self._prefix[ends] - self._prefix[starts]) * _powers(len(self._prefix))[1][starts]
+        return mix64(h ^ mix64((ends - starts).astype(np.uint64) + np.uint64(0x51ED)))
+
+
+def word_spans(mark: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of `mark` that don't cross a text's edge, and their number by text."""
+    begin = np.zeros(len(mark) + 1, bool)
+    begin[offsets] = True
+    before, after = np.zeros(len(mark), bool), np.zeros(len(mark), bool)
+    before[1:], after[:-1] = mark[:-1], mark[1:]
+    starts = np.flatnonzero(mark & (~before | begin[:-1]))
+    ends = np.flatnonzero(mark & (~after | begin[1:])) + 1
+    return starts, ends, np.diff(np.searchsorted(starts, offsets))
+
+
+def code_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of some texts and the offsets in them; bytes that are no UTF-8 count as U+FFFD."""
+    d, o = data[offsets[0] : offsets[-1]], offsets - offsets[0]
+    points = np.frombuffer(d.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+    at = np.concatenate(([0], np.cumsum((d & 0xC0) != 0x80)))[o]
+    if at[-1] != len(points):
+        parts = [np.frombuffer(d[a:b].tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32) for a, b in zip(o[:-1], o[1:], strict=True)]
+        points, at = np.concatenate(parts), np.concatenate(([0], np.cumsum([len(x) for x in parts])))
+    return points, at
+
+
 class Texts:
-    """Words, lines and their 64-bit hashes of some texts, by whole-array passes over the bytes."""
+    """Words, lines and their 64-bit hashes of some texts, by whole-array passes over the bytes.
+
+    A pass holds some 40 to 60 bytes for each byte of its texts, and a text is in one pass whole, so a
+    text of 10 MB takes about half a gigabyte.
+    """
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         self.n = len(offsets) - 1
-        self.data = d = data[offsets[0] : offsets[-1]]
-        self.offsets = o = offsets - offsets[0]
-        self.in_word = mark = ~_SPACE[d]
-        begin = np.zeros(len(d) + 1, bool)
-        begin[o] = True
-        before = np.zeros(len(d), bool)
-        before[1:] = mark[:-1]
-        after = np.zeros(len(d), bool)
-        after[:-1] = mark[1:]
-        self.starts = np.flatnonzero(mark & (~before | begin[:-1]))
-        self.ends = np.flatnonzero(mark & (~after | begin[1:])) + 1
-        self.n_words = np.diff(np.searchsorted(self.starts, o))
-        self._prefix = None
+        self.data = data[offsets[0] : offsets[-1]]
+        self.offsets = offsets - offsets[0]
+        self.in_word = ~_SPACE[self.data]
+        self.starts, self.ends, self.n_words = word_spans(self.in_word, self.offsets)
+        self._spans = None
 
     @property
     def word_doc(self) -> np.ndarray:
@@ -177,13 +223,10 @@ class Texts:
         return total[self.offsets[1:]] - total[self.offsets[:-1]]
 
     def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """A hash of the bytes of each span: polynomial by prefix sums, then mixed with the length."""
-        if self._prefix is None:
-            power = _powers(len(self.data))[0]
-            terms = (self.data.astype(np.uint64) + np.uint64(1)) * power[: len(self.data)]
-            self._prefix = np.concatenate((np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)))
-        h = (self._prefix[ends] - self._prefix[starts]) * _powers(len(self.data))[1][starts]
-        return mix64(h ^ mix64((ends - starts).astype(np.uint64) + np.uint64(0x51ED)))
+        """A hash of the bytes of each span."""
+        if self._spans is None:
+            self._spans = Spans(self.data)
+        return self._spans.hashes(starts, ends)
 
     def lines(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Starts, ends, text index and word count of all lines between newlines."""

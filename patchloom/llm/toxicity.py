@@ -6,7 +6,8 @@ other punctuation, of words in capitals, and of obfuscated words (letters with d
 Trees are boosted on one part of the learning rows; on the other part an isotonic map turns their
 margins into probabilities.
 
-All is learned from at most SAMPLE_ROWS labelled rows outside the held-out fold, in hash order of ids.
+All is learned from at most SAMPLE_ROWS labelled ids outside the held-out fold, in hash order; of
+documents that repeat such an id the one with the smallest features teaches the trees.
 
 Edge cases: a null or empty text has all features 0 and still a score; repeated rows get equal results;
 an id that is labelled twice counts as toxic if either label is 1; without labels of both kinds every
@@ -15,14 +16,12 @@ score is the share of toxic ones (0 if none); null ids are held out; extra colum
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold
+from .common import Spans, cached, checkpoint, code_points, fold, slices, text_bytes, word_spans
 
 SAMPLE_ROWS = 24_000
 #: Learned words at most; a word is learned if so many toxic texts hold it and its odds are so high.
@@ -34,66 +33,144 @@ THRESHOLD = 0.7
 
 #: Plain insults that hold without any labels.
 INSULTS = ("idiot", "moron", "stupid", "dumb", "loser", "pathetic", "worthless", "scum", "trash", "clown", "fool", "jerk", "hate", "ugly", "disgusting")
-SECOND_PERSON = frozenset("you your yours yourself ya u tu te toi ton ta tes vous votre du dich dir dein deine ihr euch usted ustedes tú tus".split())
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_EDGE = re.compile(r"^[\W_]+|[\W_]+$")
-_INSIDE = re.compile(r"(?<=[^\W\d_])[\d@$*#!|]+(?=[^\W\d_])")
+SECOND_PERSON = ("you", "your", "yours", "yourself", "ya", "u", "tu", "te", "toi", "ton", "ta", "tes", "vous", "votre", "du", "dich", "dir", "dein", "deine", "ihr", "euch", "usted", "ustedes", "tú", "tus")
 #: Signs that stand for letters in obfuscated words.
-_LETTERS = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "l"})
+LETTERS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "l"}
+#: Signs that may stand inside an obfuscated word, beside digits.
+SIGNS = "@$*#!|"
 NEAR = 5
 
 
-def normal(word: str) -> str:
-    return _EDGE.sub("", word.lower())
-
-
-def features(text: str | None, lexicon: dict[str, float]) -> list[float]:
-    """The dense features of one text."""
-    raw = _WORD.findall(text or "")
-    n = max(len(raw), 1)
-    words = [normal(w) for w in raw]
-    hits, fixed, you, hidden, capitals, weight, strongest = [], 0, [], 0, 0, 0.0, 0.0
-    for i, w in enumerate(words):
-        r = raw[i]
-        if _INSIDE.search(r):
-            hidden += 1
-            plain = normal(r.translate(_LETTERS))
-            w = plain if plain in lexicon or plain in INSULTS else normal(re.sub(r"[^\w]", "", r))
-        found = lexicon.get(w)
-        if w in INSULTS:
-            fixed += 1
-        if found is not None or w in INSULTS:
-            hits.append(i)
-            weight += found or 1.0
-            strongest = max(strongest, found or 1.0)
-        if w in SECOND_PERSON:
-            you.append(i)
-        if len(r) > 2 and r.isupper():
-            capitals += 1
-    near = 0
-    if hits and you:
+class Characters:
+    """What the characters of the basic plane are, by code point; what lies beyond counts as none of it."""
+
+    def __init__(self):
+        every = [chr(c) for c in range(0x10000)]
+        self.lower = np.array([ord(x.lower()) if len(x.lower()) == 1 else ord(x) for x in every], np.uint32)
+        self.letter, self.alnum, self.small, self.capital = (np.array([f(x) for x in every]) for f in (str.isalpha, str.isalnum, str.islower, str.isupper))
+        self.sign = np.array([x.isdecimal() for x in every])
+        self.sign[[ord(x) for x in SIGNS]] = True
+        self.plain = self.lower.copy()
+        self.plain[[ord(x) for x in LETTERS]] = [ord(x) for x in LETTERS.values()]
+        self.blank = np.zeros(0x10000, bool)
+        self.blank[[0x20, *range(0x09, 0x0E)]] = True
+
+
+def word_hash(words: list[str]) -> np.ndarray:
+    """The hashes by which words are looked up."""
+    points, offsets = code_points(*text_bytes(_strings(words)))
+    return Spans(points).hashes(offsets[:-1], offsets[1:])
+
+
+def _strings(words: list) -> pa.Array:
+    return pa.array(words, pa.large_string())
+
+
+class Lexicon:
+    """Weights of words and the fixed lists, for lookups by hash; a fixed insult weighs 1 at least if not learned."""
+
+    def __init__(self, learned: dict[str, float]):
+        weights = dict.fromkeys(INSULTS, 1.0) | {w: x or 1.0 for w, x in learned.items()}
+        keys = word_hash(list(weights))
+        order = np.argsort(keys)
+        self.keys, self.weights = keys[order], np.array(list(weights.values()))[order]
+        self.fixed, self.you = np.sort(word_hash(list(INSULTS))), np.sort(word_hash(list(SECOND_PERSON)))
+
+    def weigh(self, h: np.ndarray) -> np.ndarray:
+        """The weight of each word, 0 if it is none of the lexicon's."""
+        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+        return np.where(self.keys[at] == h, self.weights[at], 0.0)
+
+
+def _member(h: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    return keys[np.minimum(np.searchsorted(keys, h), len(keys) - 1)] == h
+
+
+def _cores(alnum: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The spans from the first to the last letter or digit of each word; empty ones without any."""
+    at = np.append(np.flatnonzero(alnum), len(alnum))
+    first = np.minimum(at[np.searchsorted(at, starts)], ends)
+    last = np.searchsorted(at, ends) - 1
+    return first, np.where(first < ends, at[last] + 1, first)
+
+
+def _packed(points: np.ndarray, keep: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of what `keep` leaves of each span."""
+    total = np.concatenate(([0], np.cumsum(keep)))
+    return Spans(points[keep]).hashes(total[starts], total[ends])
+
+
+def features(data: np.ndarray, offsets: np.ndarray, lexicon: Lexicon) -> np.ndarray:
+    """The dense features, one row a text, by whole-array passes over the code points of some texts."""
+    c = cached("characters", Characters)
+    points, o = code_points(data, offsets)
+    beyond = points > 0xFFFF
+    raw = np.where(beyond, np.uint32(0xFFFF), points)
+    n_texts, low, alnum, letter, sign = len(o) - 1, np.where(beyond, points, c.lower[raw]), c.alnum[raw], c.letter[raw], c.sign[raw]
+    starts, ends, n_words = word_spans(~c.blank[raw], o)
+    doc, n = np.repeat(np.arange(n_texts), n_words), np.maximum(n_words, 1)
+
+    def per_text(mask: np.ndarray) -> np.ndarray:
+        """True characters of a mask, by text."""
+        return np.diff(np.concatenate(([0], np.cumsum(mask)))[o])
+
+    def in_words(mask: np.ndarray) -> np.ndarray:
+        total = np.concatenate(([0], np.cumsum(mask)))
+        return total[ends] - total[starts]
+
+    def by_text(words: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
+        return np.bincount(doc[words], weights, minlength=n_texts)
+
+    first, last = _cores(alnum, starts, ends)
+    h = Spans(low).hashes(first, last)
+    # Obfuscated: a run of signs with a letter on either side.
+    runs = np.flatnonzero(sign[1:] & letter[:-1]) + 1
+    others = np.append(np.flatnonzero(~sign), len(sign))
+    behind = others[np.searchsorted(others, runs)]
+    runs = runs[(behind < len(sign)) & letter[np.minimum(behind, len(sign) - 1)]]
+    hidden = np.unique(np.searchsorted(starts, runs, "right") - 1)
+    if len(hidden):
+        a, b = starts[hidden], ends[hidden]
+        plain = np.where(beyond, points, c.plain[raw])
+        read = Spans(plain).hashes(*_cores(c.alnum[np.minimum(plain, 0xFFFF)] & ~beyond, a, b))
+        known = _member(read, lexicon.keys)
+        h[hidden] = np.where(known, read, _packed(low, alnum, a, b))
+    weight = lexicon.weigh(h)
+    hits, you, fixed = np.flatnonzero(weight), np.flatnonzero(_member(h, lexicon.you)), np.flatnonzero(_member(h, lexicon.fixed))
+    strongest = np.zeros(n_texts)
+    np.maximum.at(strongest, doc[hits], weight[hits])
+    near = hits[:0]
+    if len(hits) and len(you):
         at = np.searchsorted(you, hits)
-        places = np.array(you)
-        left = np.abs(places[np.maximum(at - 1, 0)] - hits)
-        right = np.abs(places[np.minimum(at, len(you) - 1)] - hits)
-        near = int((np.minimum(left, right) <= NEAR).sum())
-    body = text or ""
-    size = max(len(body), 1)
-    return [
-        100.0 * len(hits) / n,
-        100.0 * fixed / n,
-        100.0 * weight / n,
-        float(min(len(hits), 50)),
-        strongest,
-        100.0 * near / n,
-        len(you) / n,
-        sum(map(str.isupper, body)) / size,
-        capitals / n,
-        body.count("!") / n,
-        sum(body.count(c) for c in "?.,;:") / n,
-        hidden / n,
-        float(np.log1p(len(raw))),
-    ]
+        left, right = you[np.maximum(at - 1, 0)], you[np.minimum(at, len(you) - 1)]
+        close = [(doc[x] == doc[hits]) & (np.abs(x - hits) <= NEAR) for x in (left, right)]
+        near = hits[close[0] | close[1]]
+    shouted = np.flatnonzero((ends - starts > 2) & (in_words(c.capital[raw]) > 0) & (in_words(c.small[raw]) == 0))
+    size = np.maximum(np.diff(o), 1)
+    return np.column_stack(
+        [
+            100.0 * by_text(hits) / n,
+            100.0 * by_text(fixed) / n,
+            100.0 * by_text(hits, weight[hits]) / n,
+            np.minimum(by_text(hits), 50).astype(np.float64),
+            strongest,
+            100.0 * by_text(near) / n,
+            by_text(you) / n,
+            per_text(c.capital[raw]) / size,
+            by_text(shouted) / n,
+            per_text(raw == ord("!")) / n,
+            per_text(np.isin(raw, [ord(x) for x in "?.,;:"])) / n,
+            by_text(hidden) / n,
+            np.log1p(n_words),
+        ]
+    )
+
+
+def features_of(column: pa.Array, lexicon: Lexicon) -> np.ndarray:
+    """The features of a column of texts, some slices of bytes at a time."""
+    data, offsets = text_bytes(column)
+    parts = [features(data, offsets[a : b + 1], lexicon) for a, b in slices(offsets)]
+    return np.concatenate(parts) if parts else np.zeros((0, N_FEATURES))
 
 
 N_FEATURES = 13
@@ -175,14 +252,13 @@ def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class ToxicityModel:
-    def __init__(self, lexicon: dict[str, float], trees: BoostedTrees | None, knots: tuple, prior: float):
+    def __init__(self, lexicon: Lexicon, trees: BoostedTrees | None, knots: tuple, prior: float):
         self.lexicon, self.trees, self.knots, self.prior = lexicon, trees, knots, prior
 
-    def score(self, texts: list) -> np.ndarray:
+    def score(self, texts: pa.Array) -> np.ndarray:
         if self.trees is None:
             return np.full(len(texts), self.prior)
-        x = np.array([features(t, self.lexicon) for t in texts], np.float64).reshape(-1, N_FEATURES)
-        return np.interp(self.trees.margin(x), *self.knots)
+        return np.interp(self.trees.margin(features_of(texts, self.lexicon)), *self.knots)
 
 
 def learn_lexicon(marked: DataFrame) -> dict[str, float]:
@@ -198,16 +274,18 @@ def learn_lexicon(marked: DataFrame) -> dict[str, float]:
 def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> ToxicityModel:
     known = labels.where("doc_id is not null and toxic is not null").where(fold() != 1).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     sample = known.orderBy(F.xxhash64("doc_id", F.lit("toxic")), "doc_id").limit(sample_rows)
-    marked = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    # Read once for both models; at most sample_rows ids.
+    marked = checkpoint(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id"))
     part = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(3))
-    lexicon = learn_lexicon(marked.where(part == 0))
+    lexicon = Lexicon(learn_lexicon(marked.where(part == 0)))
 
     def dense(batches):
         for batch in batches:
-            x = [features(t, lexicon) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), batch.column("part"), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "toxic", "part", "x"])
+            x = pa.FixedSizeListArray.from_arrays(pa.array(features_of(batch.column("text"), lexicon).ravel()), N_FEATURES).cast(pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), batch.column("part"), x], names=["doc_id", "toxic", "part", "x"])
 
-    rows = marked.withColumn("part", part).mapInArrow(dense, "doc_id long, toxic int, part long, x array<double>").orderBy("doc_id", "x").limit(2 * sample_rows).toPandas()
+    found = marked.withColumn("part", part).mapInArrow(dense, "doc_id long, toxic int, part long, x array<double>")
+    rows = found.groupBy("doc_id", "toxic", "part").agg(F.min("x").alias("x")).orderBy("doc_id").toPandas()
     y, part_of = rows["toxic"].to_numpy(np.float64), rows["part"].to_numpy()
     x = np.array(rows["x"].tolist(), np.float64).reshape(-1, N_FEATURES)
     # Part 0 gave the lexicon, so its densities are too good to learn from: trees use part 1, the map part 2.
@@ -224,7 +302,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE
 
     def apply(batches):
         for batch in batches:
-            score = np.clip(model.score(batch.column("text").to_pylist()), 0.0, 1.0)
+            score = np.clip(model.score(batch.column("text")), 0.0, 1.0)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("held_out"), pa.array(score, pa.float64()), pa.array((score >= THRESHOLD).astype(np.int32))],
                 names=["doc_id", "held_out", "score", "predicted"],

@@ -321,11 +321,6 @@ def test_isotonic_map_is_the_least_squares_one():
     assert np.interp([1, 2, 3, 5], x, y).round(6).tolist() == [0.0, round(2 / 3, 6), round(2 / 3, 6), 1.0]
 
 
-def test_obfuscated_insults_count():
-    assert toxicity.features("you 1d!ot", {})[12] > 0
-    assert toxicity.features("you id1ot", {"idiot": 3.0})[0] == 50 and toxicity.features("you id1ot", {"idiot": 3.0})[5] == 50
-
-
 def test_licences(spark):
     files = [
         ("p/LICENSE", "Licensed under the Apache License, Version 2.0."),
