@@ -1,18 +1,20 @@
 """Line deduplication by winnowing over line hashes.
 
+A run is a sequence of lines; lines without a word have no place in it.  A line goes if it lies in a run
+of RUN_WORDS words or more that also stands at an earlier place (smaller document, then position), and
+no other line goes.  So the first copy of everything stays, and more documents never save a line.
+
 A gram is the shortest run of lines from some line on that holds MATCH_WORDS words.  A window is the
-shortest run that holds RUN_WORDS words; the smallest gram hash in it is a fingerprint, so any run of
-RUN_WORDS words that two places share has a fingerprint in common (both see the same window).
-Fingerprints are joined by hash to their first place (smallest document, then position); a link so
-stands for a repeated run of MATCH_WORDS words at least.  To reach the ends of a run whose gram
-occurs elsewhere first, a fingerprint is also joined together with the line before it and after it.
-Links of two documents on one diagonal are one row; there the lines are compared, every matching run
-around a link is extended both ways, and its lines are deleted in the later place.
-
-A line deleted always equals an earlier one, so the first copy of everything stays.
-
-Edge cases: lines are compared without blanks at their ends; lines without a word have no place in
-all this (copies may differ in them), and those between two deleted lines of a run go with it; null texts have no lines; null ids sort first; rows that repeat an
+shortest run from a line on, or up to a line, that holds RUN_WORDS words; windows cover every run of
+so many words whole.  The smallest gram hash in a window is its fingerprint, which all copies of the
+window share.  Fingerprints that occur twice are joined back to their places; around such a place the match
+is extended both ways, window by window: every window that has the fingerprint is joined by its own hash
+to its first place, and the lines of all other places are deleted.  (A fingerprint's first place won't do:
+it may hold less of the run than a later one.)  Only hashes and positions move, so a first copy that
+many documents repeat is a hot key of one row a side and not a document that meets them all.
+
+Edge cases: lines are compared without blanks at their ends; lines without a word are kept, but those
+inside a deleted run go with it; null texts have no lines; null ids sort first; rows that repeat an
 id and a text count as one document and get the same result; an empty table gives an empty result;
 columns beside doc_id and text are ignored, and kept by dedup_lines
 (but one named `removed`).
@@ -25,136 +27,146 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Texts, checkpoint, mix64, slices, text_bytes, unused
+from .common import Spans, Texts, checkpoint, slices, text_bytes, unused
 
 RUN_WORDS, MATCH_WORDS = 50, 40
 
 
-def line_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """For each text the hashes of its trimmed lines and their words; lines without a word have hash 0."""
-    hashes, words = [], []
-    for a, b in slices(offsets):
-        t = Texts(data, offsets[a : b + 1])
-        starts, ends, doc, n = t.lines()
-        first = np.searchsorted(t.starts, starts)
-        some = np.flatnonzero(n)
-        h = np.zeros(len(starts), np.uint64)
-        h[some] = t.hashes(t.starts[first[some]], t.ends[first[some] + n[some] - 1])
-        cut = np.flatnonzero(np.diff(doc)) + 1
-        hashes += np.split(h, cut) if t.n else []
-        words += np.split(n, cut) if t.n else []
-    return hashes, words
-
-
-def fingerprints(h: np.ndarray, n: np.ndarray, run_words: int = RUN_WORDS, match_words: int = MATCH_WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, positions) of the selected grams of one text: alone, with the next line, with the previous one."""
-    total = np.concatenate(([0], np.cumsum(n)))
-    if total[-1] < match_words:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    lines = np.flatnonzero(n > 0)  # runs start at lines with words
-    gram_end = np.searchsorted(total, total[lines] + match_words)  # one past the last line
-    able = gram_end <= len(n)
-    lines, gram_end = lines[able], gram_end[able]
-    # The hash of a run of lines, by prefix sums of each line's hash times a power of its place among lines with words.
-    place = np.cumsum(n > 0) - (n > 0)
-    power = np.cumprod(np.concatenate(([np.uint64(1)], np.full(len(n), 0xD6E8FEB86659FD93, np.uint64))), dtype=np.uint64)
-    inverse = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
-    inverses = np.cumprod(np.concatenate(([np.uint64(1)], np.full(len(n), inverse, np.uint64))), dtype=np.uint64)
-    prefix = np.concatenate((np.zeros(1, np.uint64), np.cumsum(np.where(n > 0, mix64(h), np.uint64(0)) * power[place], dtype=np.uint64)))
-    gram = mix64((prefix[gram_end] - prefix[lines]) * inverses[place[lines]])
-    # Windows: the grams that lie within the shortest run of run_words from a line on; the last, shorter ones count as windows too.
-    window_end = np.minimum(np.searchsorted(total, total[lines] + run_words), len(n))
-    chosen: set[int] = set()
-    last = np.searchsorted(gram_end, window_end, "right")
-    for k in range(len(lines)):
-        chosen.add(k + int(np.argmin(gram[k : max(last[k], k + 1)])))
-    at = np.array(sorted(chosen), np.int64)
-    key, p, e = gram[at], lines[at], gram_end[at]
-    before, after = np.where(p > 0, h[np.maximum(p - 1, 0)], np.uint64(0)), np.where(e < len(h), h[np.minimum(e, len(h) - 1)], np.uint64(0))
-    keys = np.concatenate((key, mix64(key + mix64(after + np.uint64(1))), mix64(key + mix64(before + np.uint64(2)) * np.uint64(3))))
-    return keys, np.tile(p, 3)
+def _lists(flat: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(flat))
 
 
 def _lines(batches):
+    """The lines with words of each text: hash of the trimmed line, words, and place among all lines."""
     for batch in batches:
-        h, n = line_hashes(*text_bytes(batch.column("text")))
-        at = [np.flatnonzero(x) for x in n]  # lines with words
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("doc_id"),
-                batch.column("h"),
-                pa.array([x[k].view(np.int64) for x, k in zip(h, at, strict=True)], pa.list_(pa.int64())),
-                pa.array([x[k].astype(np.int32) for x, k in zip(n, at, strict=True)], pa.list_(pa.int32())),
-                pa.array([k.astype(np.int32) for k in at], pa.list_(pa.int32())),
-            ],
-            names=["doc_id", "h", "lines", "words", "at"],
-        )
-
-
-def _grams(run_words: int, match_words: int):
+        data, offsets = text_bytes(batch.column("text"))
+        hashes, words, places, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for a, b in slices(offsets):
+            t = Texts(data, offsets[a : b + 1])
+            starts, _, doc, n = t.lines()
+            some = np.flatnonzero(n)
+            first = np.searchsorted(t.starts, starts[some])
+            hashes.append(t.hashes(t.starts[first], t.ends[first + n[some] - 1]).view(np.int64))
+            words.append(n[some].astype(np.int32))
+            every = np.bincount(doc, minlength=t.n)
+            places.append((some - (np.cumsum(every) - every)[doc[some]]).astype(np.int32))
+            sizes.append(np.bincount(doc[some], minlength=t.n))
+        n = np.concatenate(sizes)
+        columns = [batch.column("doc_id"), batch.column("h"), *(_lists(np.concatenate(x), n) for x in (hashes, words, places))]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "h", "lines", "words", "at"])
+
+
+def _smallest(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The place of the (first) smallest value of each range [start, end), by a table of power-of-two ranges."""
+    level = [np.arange(len(values))]
+    width = int((ends - starts).max(initial=1))
+    while 2 << (len(level) - 1) <= width:
+        half = 1 << (len(level) - 1)
+        left = level[-1]
+        right = left[np.minimum(np.arange(len(left)) + half, len(left) - 1)]
+        level.append(np.where(values[right] < values[left], right, left))
+    power = np.frexp((ends - starts).astype(np.float64))[1] - 1  # the largest power of two in the range
+    table = np.stack(level)
+    left, right = table[power, starts], table[power, ends - (1 << power)]
+    return np.where(values[right] < values[left], right, left)
+
+
+class Windows:
+    """Of all texts of a batch: windows [start, end) of lines, the gram that each selects, and hashes of both."""
+
+    def __init__(self, lines: np.ndarray, words: np.ndarray, offsets: np.ndarray, run_words: int, match_words: int):
+        total = np.concatenate(([0], np.cumsum(words)))
+        doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+        line = np.arange(len(lines))
+        spans = Spans(lines.view(np.uint64))
+        gram_end = np.searchsorted(total, total[:-1] + match_words)  # over a text's end, or past all, where none fits
+        fits = gram_end <= offsets[1:][doc]
+        self.gram = np.full(len(lines), np.iinfo(np.uint64).max, np.uint64)
+        self.gram[fits] = spans.hashes(line[fits], gram_end[fits])
+        ahead = np.searchsorted(total, total[:-1] + run_words)
+        behind = np.searchsorted(total, total[1:] - run_words, "right") - 1
+        forth, back = ahead <= offsets[1:][doc], behind >= offsets[:-1][doc]
+        pairs = np.concatenate((np.column_stack((line[forth], ahead[forth])), np.column_stack((behind[back], line[back] + 1))))
+        pairs = np.unique(pairs, axis=0) if len(pairs) else pairs.reshape(0, 2)
+        self.start, self.end = pairs[:, 0], pairs[:, 1]
+        self.doc, self.spans = doc[self.start] if len(pairs) else pairs[:, 0], spans
+        self.selected = _smallest(self.gram, self.start, np.searchsorted(gram_end, self.end, "right")) if len(pairs) else self.start
+
+    def hashes(self, which: np.ndarray) -> np.ndarray:
+        return self.spans.hashes(self.start[which], self.end[which])
+
+
+def _windows_of(batch, run_words: int, match_words: int) -> Windows:
+    lists = batch.column("lines")
+    offsets = lists.offsets.to_numpy()
+    lines, words = (batch.column(c).values.to_numpy()[offsets[0] : offsets[-1]] for c in ("lines", "words"))
+    return Windows(lines, words.astype(np.int64), offsets - offsets[0], run_words, match_words)
+
+
+def _fingerprints(run_words: int, match_words: int):
+    """For mapInArrow: (key, doc_id, h, pos) of the selected grams."""
+
     def run(batches):
         for batch in batches:
-            rows, keys, places = [], [], []
-            for i, (h, n) in enumerate(zip(batch.column("lines").to_pylist(), batch.column("words").to_pylist(), strict=True)):
-                k, p = fingerprints(np.array(h, np.int64).view(np.uint64), np.array(n, np.int64), run_words, match_words)
-                rows.append(np.full(len(k), i))
-                keys.append(k)
-                places.append(p)
-            index = pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64), pa.int64())
-            key = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(key), batch.column("doc_id").take(index), batch.column("h").take(index), pa.array(np.concatenate(places).astype(np.int32) if places else np.zeros(0, np.int32))], names=["key", "doc_id", "h", "pos"])
+            w = _windows_of(batch, run_words, match_words)
+            at, first = np.unique(w.selected, return_index=True)
+            doc = w.doc[first]
+            index, start = pa.array(doc), batch.column("lines").offsets.to_numpy()
+            pos = (at - (start - start[0])[doc]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(w.gram[at].view(np.int64)), batch.column("doc_id").take(index), batch.column("h").take(index), pa.array(pos)], names=["key", "doc_id", "h", "pos"])
 
     return run
 
 
-def matched_lines(a: np.ndarray, words: np.ndarray, b: np.ndarray, shift: int, linked: list[int], match_words: int) -> np.ndarray:
-    """Lines of `a` in runs that equal those of `b`, `shift` lines earlier there, around the linked ones."""
-    low, high = max(0, shift), min(len(a), len(b) + shift)
-    same = a[low:high] == b[low - shift : high - shift]
-    edges = np.flatnonzero(np.diff(np.concatenate(([False], same, [False])).astype(np.int8)))
-    out, places, total = [], np.array(linked), np.concatenate(([0], np.cumsum(words)))
-    for s, e in zip(edges[::2] + low, edges[1::2] + low, strict=True):
-        if total[e] - total[s] >= match_words and ((places >= s) & (places < e)).any():
-            out.append(np.arange(s, e))
-    return np.concatenate(out) if out else np.zeros(0, np.int64)
-
+def _repeated_windows(run_words: int, match_words: int):
+    """For mapInArrow: (key, doc_id, h, first, last) of the windows whose fingerprint is among `pos`."""
 
-def _extend(match_words: int):
     def run(batches):
         for batch in batches:
-            rows, found = [], []
-            columns = [batch.column(c).to_pylist() for c in ("lines", "words", "at", "lines_b", "shift", "linked")]
-            for i, (a, w, at, b, shift, linked) in enumerate(zip(*columns, strict=True)):
-                hit = matched_lines(np.array(a, np.int64), np.array(w, np.int64), np.array(b, np.int64), shift, linked, match_words)
-                if len(hit):
-                    rows.append(i)
-                    runs = np.split(hit, np.flatnonzero(np.diff(hit) > 1) + 1)
-                    found.append(np.concatenate([np.arange(at[r[0]], at[r[-1]] + 1, dtype=np.int32) for r in runs]))
-            index = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(index), batch.column("h").take(index), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "h", "found"])
+            w = _windows_of(batch, run_words, match_words)
+            offsets = batch.column("lines").offsets.to_numpy()
+            base, at = offsets - offsets[0], batch.column("at").values.to_numpy()[offsets[0] : offsets[-1]]
+            wanted = np.zeros(len(w.gram), bool)
+            own = batch.column("pos")
+            cuts = own.offsets.to_numpy()
+            wanted[own.values.to_numpy()[cuts[0] : cuts[-1]] + np.repeat(base[:-1], np.diff(cuts))] = True
+            which = np.flatnonzero(wanted[w.selected]) if len(w.start) else np.zeros(0, np.int64)
+            index = pa.array(w.doc[which])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(w.hashes(which).view(np.int64)), batch.column("doc_id").take(index), batch.column("h").take(index), pa.array(at[w.start[which]]), pa.array(at[w.end[which] - 1])],
+                names=["key", "doc_id", "h", "first", "last"],
+            )
 
     return run
 
 
+def _covered(batches):
+    """For mapInArrow: the places that ranges first..last cover, of each row."""
+    for batch in batches:
+        first, last = batch.column("first"), batch.column("last")
+        removed = []
+        for a, b in zip(first, last, strict=True):
+            a, b = a.values.to_numpy(), b.values.to_numpy()
+            edges = np.bincount(a, minlength=int(b.max()) + 2) - np.bincount(b + 1, minlength=int(b.max()) + 2)
+            removed.append(np.flatnonzero(np.cumsum(edges) > 0).astype(np.int32))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(removed, pa.list_(pa.int32()))], names=["doc_id", "h", "removed"])
+
+
 def repeated_lines(docs: DataFrame, run_words: int = RUN_WORDS, match_words: int = MATCH_WORDS) -> DataFrame:
     """doc_id, h (hash of the text) and the sorted positions `removed` of every document with repeated runs."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
     lines = own.mapInArrow(_lines, "doc_id long, h long, lines array<long>, words array<int>, at array<int>")
     lines = checkpoint(lines.dropDuplicates(["doc_id", "h"]))
-    grams = lines.mapInArrow(_grams(run_words, match_words), "key long, doc_id long, h long, pos int")
-    place = F.struct("doc_id", "h", "pos")
-    first = grams.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    linked = grams.join(first, "key").where(place != F.col("first"))
-    to = linked.select("doc_id", "h", "pos", F.col("first.doc_id").alias("id_b"), F.col("first.h").alias("h_b"), (F.col("pos") - F.col("first.pos")).alias("shift"))
-    rows = to.groupBy("doc_id", "h", "id_b", "h_b", "shift").agg(F.collect_set("pos").alias("linked"))
-    same = F.col("doc_id").eqNullSafe(F.col("id_b")) & (F.col("h") == F.col("h_b"))
-    rows = checkpoint(rows.where(~same | (F.col("shift") > 0)))
-    mine = lines.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "lines", "words", "at")
-    theirs = lines.select(F.col("doc_id").alias("_id_b"), F.col("h").alias("_h_b"), F.col("lines").alias("lines_b"))
-    both = rows.join(mine, (F.col("h") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_h", "_id")
-    both = both.join(theirs, (F.col("h_b") == F.col("_h_b")) & F.col("id_b").eqNullSafe(F.col("_id_b"))).drop("_h_b", "_id_b")
-    found = both.select("doc_id", "h", "lines", "words", "at", "lines_b", "shift", "linked").mapInArrow(_extend(match_words), "doc_id long, h long, found array<int>")
-    return found.groupBy("doc_id", "h").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))).alias("removed"))
+    prints = checkpoint(lines.mapInArrow(_fingerprints(run_words, match_words), "key long, doc_id long, h long, pos int"))
+    twice = prints.groupBy("key").count().where("count > 1").select("key")
+    met = prints.join(twice, "key").groupBy("doc_id", "h").agg(F.collect_set("pos").alias("pos")).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "pos")
+    both = lines.join(met, (F.col("h") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("doc_id", "h", "lines", "words", "at", "pos")
+    windows = checkpoint(both.mapInArrow(_repeated_windows(run_words, match_words), "key long, doc_id long, h long, first int, last int"))
+    place = F.struct("doc_id", "h", "first")
+    firsts = windows.groupBy("key").agg(F.min(place).alias("p"), F.count("*").alias("n")).where("n > 1").drop("n")
+    later = windows.join(firsts, "key").where(~place.eqNullSafe(F.col("p")))
+    ranges = later.groupBy("doc_id", "h").agg(F.collect_set(F.struct("first", "last")).alias("r"))
+    return ranges.select("doc_id", "h", F.col("r.first").alias("first"), F.col("r.last").alias("last")).mapInArrow(_covered, "doc_id long, h long, removed array<int>")
 
 
 def dedup_lines(docs: DataFrame, run_words: int = RUN_WORDS, match_words: int = MATCH_WORDS) -> DataFrame:
