@@ -338,28 +338,6 @@ def test_licences(spark):
     assert found["p/vendor/x/y/z.c"]["inherited_from"] == "p/vendor/x" and found[None]["inherited_license"] is None
 
 
-@needs_tables
-def test_tfidf_cosine(spark):
-    """Scores against cosines by hand, over the same units."""
-    lines = ["Licensed under the Apache License, Version 2.0.", "license to be read", "Released under the BSD license, clause 3", "copyright notice of the author"]
-    files = spark.createDataFrame([(str(i), t) for i, t in enumerate(lines)], "path string, text string")
-    terms = lambda t: [w.strip(".") for w in re.split(r"[^\w.]+|_", t.lower()) if w.strip(".")]
-    units, templates = [Counter(terms(x)) for x in lines], [(n, Counter(terms(x))) for n, x in license_scan.TEMPLATES]
-    total, df = len(units) + len(templates), Counter()
-    for c in [*units, *(c for _, c in templates)]:
-        df.update(set(c))
-    weigh = lambda c: {t: n * (np.log((1 + total) / (1 + df[t])) + 1) for t, n in c.items()}
-    norm = lambda v: np.sqrt(sum(x * x for x in v.values()))
-    expected = {}
-    for i, u in enumerate(units):
-        a = weigh(u)
-        score, k = max((round(sum(a[t] * b.get(t, 0) for t in a) / norm(a) / norm(b), 6), -k) for k, b in enumerate(weigh(c) for _, c in templates))
-        if score >= 0.3:
-            expected[str(i)] = (templates[-k][0], score)
-    found = license_scan.license_scan(files, threshold=0.3).where("own_license is not null").collect()
-    assert {r["path"]: (r["own_license"], r["score"]) for r in found} == {p: (n, pytest.approx(s, abs=2e-6)) for p, (n, s) in expected.items()}
-
-
 @needs_tables
 def test_pipeline(spark, docs, local):
     """The stages' decisions, one after the other, from the operators' own tested results."""
