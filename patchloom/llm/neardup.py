@@ -152,11 +152,11 @@ def distance_table(fps: np.ndarray, most: int = PIVOTS) -> np.ndarray:
 
 
 class Bucket:
-    """Nodes with their components, sets and fingerprints; `links` connects what is near across components."""
+    """Nodes with their components, sets and fingerprints; `links` names the components that near pairs connect."""
 
     def __init__(self, node: np.ndarray, root: np.ndarray, side: np.ndarray | None, flat: np.ndarray, offsets: np.ndarray, fps: np.ndarray):
         self.node, self.side, self.flat, self.offsets, self.fps = node, side, flat, offsets, fps
-        _, self.label = np.unique(root, return_inverse=True)
+        self.root, self.label = np.unique(root, return_inverse=True)
         self.n = np.diff(offsets)
         self.small = self.n < LEAST_SET
 
@@ -191,7 +191,7 @@ class Bucket:
                 first, others = others[:block], others[block:]
                 for k in first[self.similar(r, first)]:
                     if self.label[k] != self.label[r]:
-                        yield self.node[r], self.node[k]
+                        yield self.root[self.label[r]], self.root[self.label[k]]
                         self.label[self.label == self.label[k]] = self.label[r]
                 others = others[self.label[others] != self.label[r]]
 
@@ -244,7 +244,7 @@ def open_links(batches):
 
 
 def left_apart(shared: DataFrame, sets: DataFrame, roots: DataFrame, chunk: int = CHUNK, chunk_shingles: int = CHUNK_SHINGLES) -> DataFrame:
-    """Links between nodes that share a bucket but no component in `roots`."""
+    """Links between components in `roots` of which near nodes share a bucket."""
     marked = checkpoint(shared.select("v", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     of_root = marked.groupBy("v", "root").agg(F.count("*").alias("m"), F.sum("n").alias("s"))
     of_bucket = of_root.groupBy("v").agg(F.count("*").alias("roots"), F.sum("m").alias("m"), F.sum("s").alias("s"), F.max(F.struct("m", "s", "root")).alias("top")).where("roots > 1")
@@ -283,8 +283,11 @@ def near_components(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     met = shared.select("node", "n", F.explode("heads").alias("o")).where((F.col("node") != F.col("o.node")) & alike)
     tested = met.select(F.least("node", "o.node").alias("a"), F.greatest("node", "o.node").alias("b")).distinct()
     links = checkpoint(verified(tested, sets.select("node", "set")))
-    more = checkpoint(left_apart(shared, sets, components(links), chunk))
-    roots = components(links.union(more))
+    first = checkpoint(components(links))
+    # The smallest root of the components that belong together stands for all their nodes.
+    second = components(left_apart(shared, sets, first, chunk)).select(F.col("node").alias("root"), F.col("root").alias("over"))
+    alone = second.join(first.select("root").distinct(), "root", "left_anti").select(F.col("root").alias("node"), F.col("over").alias("root"))
+    roots = first.join(second, "root", "left").select("node", F.coalesce("over", "root").alias("root")).unionByName(alone)
     return signed.select("doc_id", "h", "node").join(roots, "node", "left").select("doc_id", "h", "node", F.coalesce("root", "node").alias("root"))
 
 

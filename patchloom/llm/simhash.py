@@ -10,7 +10,7 @@ random fingerprints tells only about six pairs of ten apart, so without blocks a
 
 A bucket yields links from each member to the first of its group, never all pairs, and a bucket of
 over BUCKET_ROWS is cut into chunks of which each two meet in one task.  Components follow from the
-links by alternating star contraction with reliable checkpoints.
+links by contraction in parts and alternating star passes, with reliable checkpoints.
 
 The contract's 3 bits of 3-word shingles miss most near copies at a similarity of 0.8; the pipeline's
 stage is neardup.near_dedup, which searches by similarity with the fingerprints and tables made here.
@@ -38,8 +38,8 @@ BLOCKS = (13, 13, 13, 13, 12)
 PIVOTS = 24
 #: Fingerprints of a bucket that meet in one task, at most.
 BUCKET_ROWS = 20_000
-#: Edges that a file of a checkpointed pass holds, about.
-EDGES_PER_FILE = 100_000
+#: Edges that one task contracts, about.
+PART_EDGES = 100_000
 #: Edges up to which the smallest neighbours are broadcast; beyond it only those of hubs are.
 HUB_EDGES = 200_000
 
@@ -214,11 +214,32 @@ def candidate_links(nodes: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFra
 # --- components -------------------------------------------------------------------------------
 
 
-def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, root) for every linked node: the smallest node it can reach, by star contraction.
+def forest(batches):
+    """For mapInArrow over edges (u, v): the links of every node to the smallest one that this part's edges reach."""
+    root: dict = {}
 
-    A large-star step links each larger neighbour of a node to the smallest one around it; a small-star
-    step does so for the smaller neighbours.  Each pass is checkpointed; it ends when nothing changes.
+    def find(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = x = root[up]  # halves the path; every node on it is known
+        return x
+
+    for batch in batches:
+        for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True):
+            a, b = find(u), find(v)
+            if a != b:
+                root[max(a, b)] = min(a, b)
+    out = [(x, find(x)) for x in root]
+    stars = np.array([(x, r) for x, r in out if x != r], np.int64).reshape(-1, 2)
+    yield pa.RecordBatch.from_arrays([pa.array(stars[:, 0]), pa.array(stars[:, 1])], names=["u", "v"])
+
+
+def components(links: DataFrame, max_rounds: int = 60, part_edges: int = PART_EDGES) -> DataFrame:
+    """(node, root) for every linked node: the smallest node it can reach.
+
+    Parts of about `part_edges` edges are contracted to stars by a task each; one part is all it takes
+    for so few edges.  Otherwise passes of star contraction join the parts' stars: a large-star step
+    links each larger neighbour of a node to the smallest one around it; a small-star step does so for the
+    smaller neighbours.  Each pass is checkpointed; it ends when nothing changes.
     """
 
     def with_lowest(edges: DataFrame, n: int, own: bool) -> DataFrame:
@@ -231,28 +252,30 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         low = checkpoint(low)
         return left_join_hot(edges, low.drop("count"), "u", n, low, F.xxhash64("v"))
 
+    def contracted(edges: DataFrame, n: int) -> DataFrame:
+        return checkpoint(edges.coalesce(max(1, -(-n // part_edges))).mapInArrow(forest, "u long, v long"))
+
     def state(edges: DataFrame):
-        r = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        return tuple(r)
-
-    edges = checkpoint(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    before = state(edges)
-    # A pass never has more than twice the edges of the one before: files of about that many rows.
-    files = -(-2 * before[0] // EDGES_PER_FILE)
-    for _ in range(max_rounds):
-        if not before[0]:
-            break
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = with_lowest(both, 2 * before[0], True).where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).where("u <> v").distinct()
-        near = with_lowest(large, 2 * before[0], False)
-        small = near.select(F.inline(F.array(F.struct(F.col("v").alias("u"), F.col("low").alias("v")), F.struct("u", F.col("low").alias("v")))))
-        edges = checkpoint(small.where("u <> v").distinct().coalesce(max(1, files)))
-        after = state(edges)
-        if after == before:
-            break
-        before = after
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+    edges = checkpoint(links.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u <> v"))
+    n = edges.count()
+    edges = contracted(edges, n)
+    if n > part_edges:
+        before = state(edges)
+        for _ in range(max_rounds):
+            both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            large = with_lowest(both, 2 * before[0], True).where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).where("u <> v")
+            near = with_lowest(large, 2 * before[0], False)
+            small = near.select(F.inline(F.array(F.struct(F.col("v").alias("u"), F.col("low").alias("v")), F.struct("u", F.col("low").alias("v")))))
+            # A pass has at most twice the edges of the one before.
+            edges = contracted(small.where("u <> v").distinct(), 2 * before[0])
+            after = state(edges)
+            if after == before:
+                break
+            before = after
+        else:
+            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
 
 

@@ -278,7 +278,7 @@ def link(fps, ids):
 
 
 @pytest.mark.parametrize("bucket_rows", [20_000, 7])
-def test_components_of_planted_fingerprints(spark, bucket_rows):
+def test_components_of_planted_fingerprints(spark, bucket_rows, monkeypatch):
     """Chains and clusters of close fingerprints, also with buckets so small that large ones are cut in chunks."""
     rng = random.Random(8)
     fps = set()
@@ -292,9 +292,12 @@ def test_components_of_planted_fingerprints(spark, bucket_rows):
     fps |= {near ^ (1 << a) ^ (1 << b) for a in range(8) for b in range(8)}
     signed = [f - (1 << 64) if f >> 63 else f for f in sorted(fps)]
     nodes = spark.createDataFrame([(f,) for f in signed], "fp long")
-    found = {r["node"]: r["root"] for r in simhash.components(simhash.candidate_links(nodes, bucket_rows)).collect()}
+    links = simhash.candidate_links(nodes, bucket_rows).cache()
     expected = link(np.array(signed, np.int64).view(np.uint64), signed)
-    assert {f: found.get(f, f) for f in signed} == expected
+    for part_edges, hub_edges in ((100_000, 200_000), (40, 200_000), (40, 10)):
+        monkeypatch.setattr(simhash, "HUB_EDGES", hub_edges)
+        found = {r["node"]: r["root"] for r in simhash.components(links, part_edges=part_edges).collect()}
+        assert {f: found.get(f, f) for f in signed} == expected
 
 
 @needs_tables
