@@ -6,10 +6,14 @@ are joined; each hit names a diagonal (document position less item position), an
 texts are compared token by token.  A document leaks an item if, on some diagonal, WINDOW consecutive
 tokens of the item (all of a shorter one) agree with it in IDENTITY of the places or more.
 
-With up to one substitution in five, every window of 15 or 20 tokens holds a seed of either mask
-(checked in the tests), so a leak with substitutions only is not missed.
+With up to one substitution in five, every window of 8 to 20 tokens holds a seed of one of the masks, and
+every window of ALONE tokens or more one of the first mask (checked in the tests), so a leak with
+substitutions only is not missed, and the second mask is looked at only if there are items so short.
 
-Edge cases: null or empty texts leak nothing; an item of fewer than LEAST words is not searched for;
+An item of fewer than LEAST tokens must agree in all of them, its seed being all its tokens; one of
+fewer than LEAST_INSIDE tokens, which any text may hold, leaks only as a whole document.
+
+Edge cases: null or empty texts leak nothing, and an item without a token is leaked by none;
 null ids are ids like any other; items that repeat an id are reported as one; empty tables give an empty
 result; columns beside the id and the text are ignored.
 """
@@ -21,13 +25,15 @@ from pyspark.sql import functions as F
 
 from .common import broadcast_below, checkpoint, unused
 
-#: Offsets of the tokens that a seed looks at.
-MASKS = ((0, 1, 2, 4), (0, 2, 4, 5))
-WINDOW, IDENTITY, LEAST = 20, 0.8, 8
+#: Offsets of the tokens that a seed looks at; from ALONE tokens on the first mask alone will do.
+MASKS, ALONE = ((0, 1, 2, 4), (0, 2, 5, 6)), 11
+WINDOW, IDENTITY = 20, 0.8
+#: Items shorter than this are matched whole; those shorter than LEAST_INSIDE only by whole documents.
+LEAST, LEAST_INSIDE = 8, 4
 #: Rows of benchmark seeds, items or hits that may be broadcast; beyond it a shuffled join is used.
 BROADCAST_ROWS = 200_000
-#: Bits of the membership filter that thins out seeds before the join, as words of 64.
-FILTER_WORDS = 1 << 14
+#: Bits of the membership filter that thins out seeds before the join, for each benchmark seed, and 64-bit words of it at most.
+FILTER_BITS, FILTER_WORDS = 16, 1 << 15
 
 
 def token_hashes(text: Column) -> Column:
@@ -40,44 +46,75 @@ def _seed(tokens: Column, i: Column, mask: tuple) -> Column:
     return F.xxhash64(*(F.get(tokens, i + o) for o in mask))
 
 
+def _short_mask(length: int) -> tuple:
+    return tuple(range(length))
+
+
 def _positions(tokens: Column, mask: tuple) -> Column:
-    return F.when(F.size(tokens) > mask[-1], F.sequence(F.lit(0), F.size(tokens) - 1 - mask[-1])).otherwise(F.array().cast("array<int>"))
+    """Where a mask fits; that of a very short item only at the start of a document of its length."""
+    fits = F.size(tokens) == len(mask) if len(mask) < LEAST_INSIDE else F.size(tokens) > mask[-1]
+    return F.when(fits, F.sequence(F.lit(0), F.size(tokens) - 1 - mask[-1])).otherwise(F.array().cast("array<int>"))
+
 
+def seeds(rows: DataFrame, carried: list[str], masks: dict[int, tuple], bitmap: list[int] | None = None) -> DataFrame:
+    """A row for each mask (by number) and position of `tokens`: the carried columns, m, pos and seed.
 
-def seeds(rows: DataFrame, carried: list[str], only: Column | None = None, masks: tuple = MASKS) -> DataFrame:
-    """A row for each mask and position of `tokens`: the carried columns, m, pos and seed."""
+    With a bitmap, positions are filtered by it first and only those that pass get a row.
+    """
     tokens = F.col("tokens")
 
     def of_mask(m: int, mask: tuple) -> Column:
-        made = F.transform(_positions(tokens, mask), lambda i: F.struct(F.lit(m).alias("m"), i.alias("pos"), _seed(tokens, i, mask).alias("seed")))
-        return made if only is None else F.filter(made, lambda s: _member(only, s["seed"]))
+        places = _positions(tokens, mask)
+        if bitmap:
+            words = F.lit(bitmap).cast("array<bigint>")
+            places = F.filter(places, lambda i: _member(words, len(bitmap), _seed(tokens, i, mask)))
+        return F.transform(places, lambda i: F.struct(F.lit(m).alias("m"), i.alias("pos"), _seed(tokens, i, mask).alias("seed")))
 
-    every = [of_mask(m, mask) for m, mask in enumerate(masks)]
-    return rows.select(*carried, F.inline(F.concat(*every)))
+    return rows.select(*carried, F.inline(F.concat(*(of_mask(m, mask) for m, mask in masks.items()))))
 
 
-def _member(words: Column, seed: Column) -> Column:
-    place = F.pmod(seed, F.lit(FILTER_WORDS * 64)).cast("int")
+def _member(words: Column, n: int, seed: Column) -> Column:
+    place = F.pmod(seed, F.lit(n * 64)).cast("int")
     return F.getbit(F.get(words, F.shiftright(place, 6)), place.bitwiseAND(F.lit(63))) == 1
 
 
-def seed_filter(bench: DataFrame) -> Column:
-    """A bitmap over the benchmark's seeds, as one row's array of FILTER_WORDS words."""
-    place = F.pmod("seed", F.lit(FILTER_WORDS * 64)).cast("int")
+def seed_filter(bench: DataFrame) -> list[int]:
+    """A bitmap over the benchmark's seeds, about FILTER_BITS bits for each, as at most FILTER_WORDS words."""
+    n = 1 << max(4, (bench.count() * FILTER_BITS // 64).bit_length())
+    n = min(n, FILTER_WORDS)
+    place = F.pmod("seed", F.lit(n * 64)).cast("int")
     bits = bench.select(place.alias("p")).selectExpr("p div 64 as w", "shiftleft(1L, p & 63) as b")
-    found = {r["w"]: r["word"] for r in bits.groupBy("w").agg(F.bit_or("b").alias("word")).collect()}  # at most FILTER_WORDS rows
-    return F.lit([found.get(k, 0) for k in range(FILTER_WORDS)]).cast("array<bigint>")
+    found = {r["w"]: r["word"] for r in bits.groupBy("w").agg(F.bit_or("b").alias("word")).collect()}  # at most n rows
+    return [found.get(k, 0) for k in range(n)]
+
+
+def item_seeds(items: DataFrame, masks: tuple = MASKS) -> tuple[DataFrame, dict[int, tuple]]:
+    """(item_id, m, item_pos, seed) of all items, and the masks by number that these seeds have."""
+    size = F.size("tokens")
+    lengths = [r[0] for r in items.where(size < ALONE).select(size.alias("n")).distinct().collect()]  # fewer than ALONE numbers
+    parts, used = [], {}
+    for k, mask in enumerate(masks):
+        if k == 0 or any(n >= LEAST for n in lengths):
+            parts.append(seeds(items.where(size >= (LEAST)), ["item_id"], {k: mask}))
+            used[k] = mask
+    for n in sorted(n for n in lengths if n < LEAST):
+        used[len(masks) + n] = _short_mask(n)
+        parts.append(seeds(items.where(size == n), ["item_id"], {len(masks) + n: _short_mask(n)}))
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    return checkpoint(every.withColumnRenamed("pos", "item_pos")), used
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, masks: tuple = MASKS, window: int = WINDOW, identity: float = IDENTITY) -> DataFrame:
     """doc_id, h (hash of the text), item_id, doc_start, item_start, matched, compared of every leaked item, best place first."""
-    items = benchmark.select(F.col("item_id").alias("item_id"), token_hashes(F.col("text")).alias("tokens")).where(F.size("tokens") >= LEAST)
+    items = benchmark.select(F.col("item_id").alias("item_id"), token_hashes(F.col("text")).alias("tokens")).where(F.size("tokens") > 0)
     items = checkpoint(items)
-    item_seeds = checkpoint(seeds(items, ["item_id"], masks=masks).withColumnRenamed("pos", "item_pos"))
+    given, used = item_seeds(items, masks)
     own = docs.select(F.col("doc_id").alias("doc_id"), F.xxhash64("text").alias("h"), F.col("text").alias("text"))
     tokens = own.select("doc_id", "h", token_hashes(F.col("text")).alias("tokens"))
-    found = seeds(tokens, ["doc_id", "h"], seed_filter(item_seeds), masks)
-    lookup, _ = broadcast_below(item_seeds, BROADCAST_ROWS)
+    found = seeds(tokens, ["doc_id", "h"], used, seed_filter(given))
+    lookup, _ = broadcast_below(given, BROADCAST_ROWS)
     hits = found.join(lookup, ["m", "seed"]).select("doc_id", "h", "item_id", (F.col("pos") - F.col("item_pos")).alias("diagonal"))
     hits = hits.distinct()
     by_doc = hits.groupBy("doc_id", "h").agg(F.collect_list(F.struct("item_id", "diagonal")).alias("found"))
@@ -97,7 +134,7 @@ def _verify(placed: DataFrame, window: int, identity: float) -> DataFrame:
     aligned = F.zip_with(F.slice("item", F.col("first") + 1, F.col("n")), F.slice("tokens", F.col("first") + F.col("diagonal") + 1, F.col("n")), lambda a, b: (a == b).cast("int"))
     same = cut.select("doc_id", "h", "item_id", "diagonal", "first", "n", "w", aligned.alias("same"))
     counts = F.transform(F.sequence(F.lit(0), F.col("n") - F.col("w")), lambda s: F.struct(F.aggregate(F.slice("same", s + 1, F.col("w")), F.lit(0), lambda a, b: a + b).alias("matched"), (-s).alias("at")))
-    best = same.withColumn("best", F.array_max(counts)).where(F.col("best.matched") >= F.ceil(F.col("w") * identity))
+    best = same.withColumn("best", F.array_max(counts)).where(F.col("best.matched") >= F.when(F.col("w") < LEAST, F.col("w")).otherwise(F.ceil(F.col("w") * identity)))
     top = best.groupBy("doc_id", "h", "item_id").agg(F.max(F.struct(F.col("best.matched").alias("matched"), F.col("w").alias("compared"), (F.col("first") - F.col("best.at")).alias("item_start"), F.col("diagonal").alias("diagonal"))).alias("t"))
     return top.select("doc_id", "h", "item_id", (F.col("t.item_start") + F.col("t.diagonal")).alias("doc_start"), "t.item_start", "t.matched", "t.compared")
 

@@ -85,5 +85,28 @@ def _secret_sql() -> str:
     )
 
 
+def _tokens_sql(table: str, key: str) -> str:
+    return rf"SELECT {key}, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS t FROM {table}"
+
+
+def _leak_sql() -> str:
+    """All equal tokens of a document and an item, by diagonal; no seeds."""
+    d = decontaminate
+    need = f"CASE WHEN w < {d.LEAST} THEN w ELSE CAST(ceil(w * {d.IDENTITY}) AS BIGINT) END"
+    return (
+        f"WITH d AS ({_tokens_sql('documents', 'doc_id')}), i AS ({_tokens_sql('benchmark', 'item_id')}), "
+        "dt AS (SELECT doc_id, len(t) AS n, unnest(t) AS tok, unnest(range(len(t))) AS p FROM d), "
+        "it AS (SELECT item_id, len(t) AS n, unnest(t) AS tok, unnest(range(len(t))) AS p FROM i), "
+        "hit AS (SELECT doc_id, item_id, dt.n AS nd, it.n AS ni, dt.p - it.p AS diagonal, list(it.p) AS ps FROM dt JOIN it USING (tok) GROUP BY ALL), "
+        f"cut AS (SELECT *, least({d.WINDOW}, ni) AS w, greatest(0, -diagonal) AS lo, least(ni, nd - diagonal) AS hi FROM hit WHERE ni >= {d.LEAST_INSIDE} OR (ni = nd AND diagonal = 0)), "
+        f"able AS (SELECT *, {need} AS need FROM cut WHERE hi - lo >= w AND len(ps) >= {need}), "
+        "win AS (SELECT doc_id, item_id, diagonal, w, need, ps, unnest(range(lo, hi - w + 1)) AS s FROM able), "
+        "m AS (SELECT doc_id, item_id, diagonal, w, need, s, len(list_filter(ps, lambda p: p >= s AND p < s + w)) AS matched FROM win), "
+        "one AS (SELECT * FROM m WHERE matched >= need QUALIFY row_number() OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY matched DESC, s) = 1) "
+        "SELECT doc_id, item_id, CAST(s + diagonal AS INTEGER) AS doc_start, CAST(s AS INTEGER) AS item_start, CAST(matched AS INTEGER) AS matched, CAST(w AS INTEGER) AS compared FROM one "
+        "QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY matched DESC, w DESC, s DESC, diagonal DESC) = 1"
+    )
+
+
 def oracle_sql() -> dict:
-    return {"op6_secret_scan": _secret_sql()}
+    return {"op5_decontaminate": _leak_sql(), "op6_secret_scan": _secret_sql()}
