@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import sys
 import tempfile
 import types
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that one vectorised pass handles; a longer document gets a pass of its own.
 SLICE_BYTES = 1 << 19
+#: Bytes of an Arrow batch, about; a longer row is a batch of its own.
+BATCH_BYTES = 4 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -36,6 +39,18 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """`df`, in a session whose Arrow batches hold BATCH_BYTES or so: what a Python worker holds at once.
+
+    A batch is otherwise 10,000 rows of up to 64 MB, on both sides.  A lower limit of the session's is kept.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(re.sub(r"\D", "", conf.get(key)) or 0) if re.fullmatch(r"\d+b?", conf.get(key)) else 0
+    if now > BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return df
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cached, checkpoint, code_points, fold, mix64, slices, text_bytes, word_spans
+from .common import cached, checkpoint, code_points, fold, mix64, slices, small_batches, text_bytes, word_spans
 
 DIMENSIONS = 1024
 #: Learning documents of a language, about.
@@ -143,7 +143,7 @@ def _bundle(dimensions: int):
 
 def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, dimensions: int = DIMENSIONS) -> tuple[list[str], np.ndarray]:
     """The language codes, sorted, and their unit prototypes."""
-    able = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).where(F.col("lang").isNotNull() & (fold() != 1))
+    able = small_batches(docs).select("doc_id", "text", F.col("lang").cast("string").alias("lang")).where(F.col("lang").isNotNull() & (fold() != 1))
     share = checkpoint(able.groupBy("lang").count().select("lang", (F.lit(float(per_language)) / F.col("count")).alias("share")).limit(MANY_LANGUAGES + 1))
     if share.count() > MANY_LANGUAGES:
         raise ValueError(f"over {MANY_LANGUAGES} language codes")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Spans, Texts, checkpoint, slices, text_bytes, unused
+from .common import Spans, Texts, checkpoint, slices, small_batches, text_bytes, unused
 
 RUN_WORDS, MATCH_WORDS = 50, 40
 
@@ -154,7 +154,7 @@ def _covered(batches):
 
 def repeated_lines(docs: DataFrame, run_words: int = RUN_WORDS, match_words: int = MATCH_WORDS) -> DataFrame:
     """doc_id, h (hash of the text) and the sorted positions `removed` of every document with repeated runs."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
+    own = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
     lines = own.mapInArrow(_lines, "doc_id long, h long, lines array<long>, words array<int>, at array<int>")
     lines = checkpoint(lines.dropDuplicates(["doc_id", "h"]))
     prints = checkpoint(lines.mapInArrow(_fingerprints(run_words, match_words), "key long, doc_id long, h long, pos int"))

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import broadcast_below, buckets_for, checkpoint, running, unused, word_counts
+from .common import broadcast_below, buckets_for, checkpoint, running, small_batches, unused, word_counts
 
 WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2.0
@@ -103,7 +103,7 @@ def sized_documents(docs: DataFrame) -> DataFrame:
     """doc_id, src, size and a shuffle key of every document, checkpointed."""
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text", F.crc32(F.coalesce("text", F.lit(""))).alias("crc"))
     schema = T.StructType([narrow.schema["doc_id"], narrow.schema["source"], narrow.schema["crc"], T.StructField("size", T.LongType())])
-    sized = narrow.mapInArrow(word_counts, schema)
+    sized = small_batches(narrow).mapInArrow(word_counts, schema)
     src = F.when(F.col("source").isNull(), "1").otherwise(F.concat(F.lit("0"), "source"))
     return checkpoint(sized.select("doc_id", "crc", "size", src.alias("src"), F.xxhash64("doc_id", F.lit("mix")).alias("key")))
 

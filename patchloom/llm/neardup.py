@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Texts, broadcast_below, checkpoint, drop_rows, mix64, slices, text_bytes
+from .common import Texts, broadcast_below, checkpoint, drop_rows, mix64, slices, small_batches, text_bytes
 from .simhash import _LOWER, components, majority
 
 SHINGLE = 5
@@ -267,7 +267,7 @@ def left_apart(shared: DataFrame, sets: DataFrame, roots: DataFrame, chunk: int
 
 def near_components(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """doc_id, h (hash of the text), node and root (the smallest node it reaches) of every document."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
+    own = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
     signed = checkpoint(own.mapInArrow(_signed, "doc_id long, h long, node long, n long, bands array<long>"))
     nodes = signed.groupBy("node").agg(F.min(F.struct("h", "n", "bands")).alias("x"), F.count("*").alias("copies")).select("node", "copies", "x.h", "x.n", "x.bands")
     dealt = nodes.where("n > 0").select("node", "copies", "h", "n", F.explode("bands").alias("v"))

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Texts, checkpoint, drop_rows, left_join_hot, slices, text_bytes
+from .common import Texts, checkpoint, drop_rows, left_join_hot, slices, small_batches, text_bytes
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 3
 #: Widths of the five blocks, high bits first.
@@ -281,7 +281,7 @@ def components(links: DataFrame, max_rounds: int = 60, part_edges: int = PART_ED
 
 def simhash_components(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """doc_id, fingerprint (long), root (smallest fingerprint reached) and component_id of every document."""
-    fps = checkpoint(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda b: _add_fingerprints(b, "text", "fp"), "doc_id long, fp long"))
+    fps = checkpoint(small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda b: _add_fingerprints(b, "text", "fp"), "doc_id long, fp long"))
     nodes = checkpoint(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("count")))
     roots = components(candidate_links(nodes.select("fp"), bucket_rows)).withColumnRenamed("node", "fp")
     linked = checkpoint(nodes.join(roots, "fp", "left").select("fp", "first_id", "count", F.coalesce("root", "fp").alias("root")))
@@ -298,7 +298,7 @@ def fingerprint_dedup(docs: DataFrame) -> DataFrame:
     Rows that repeat an id and a text are settled among themselves, so one row stays.  neardup.near_dedup
     is the wider search, by similarity.
     """
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
+    narrow = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
     found = checkpoint(narrow.mapInArrow(lambda b: _add_fingerprints(b, "text", "fp"), "doc_id long, h long, fp long"))
     roots = components(candidate_links(found.select("fp").distinct())).withColumnRenamed("node", "fp")
     return drop_rows(docs, found.join(roots, "fp", "left").select("doc_id", "h", F.coalesce("root", "fp").alias("root")))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Spans, cached, checkpoint, code_points, fold, slices, text_bytes, word_spans
+from .common import Spans, cached, checkpoint, code_points, fold, slices, small_batches, text_bytes, word_spans
 
 SAMPLE_ROWS = 24_000
 #: Learned words at most; a word is learned if so many toxic texts hold it and its odds are so high.
@@ -284,7 +284,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
             x = pa.FixedSizeListArray.from_arrays(pa.array(features_of(batch.column("text"), lexicon).ravel()), N_FEATURES).cast(pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), batch.column("part"), x], names=["doc_id", "toxic", "part", "x"])
 
-    found = marked.withColumn("part", part).mapInArrow(dense, "doc_id long, toxic int, part long, x array<double>")
+    found = small_batches(marked).withColumn("part", part).mapInArrow(dense, "doc_id long, toxic int, part long, x array<double>")
     rows = found.groupBy("doc_id", "toxic", "part").agg(F.min("x").alias("x")).orderBy("doc_id").toPandas()
     y, part_of = rows["toxic"].to_numpy(np.float64), rows["part"].to_numpy()
     x = np.array(rows["x"].tolist(), np.float64).reshape(-1, N_FEATURES)
