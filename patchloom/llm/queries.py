@@ -108,5 +108,42 @@ def _leak_sql() -> str:
     )
 
 
+def _licence_sql() -> str:
+    """Units, TF-IDF cosines and nearest-ancestor licences by list functions and joins."""
+    x = license_scan
+    quote = lambda t: "'" + t.replace("'", "''") + "'"
+    speaks = lambda c: f"regexp_matches({c}, {quote(x.WORDS)})"
+    terms = lambda c: rf"list_filter(list_transform(string_split_regex(lower({c}), '[^\p{{L}}\p{{N}}.]+'), lambda w: trim(w, '.')), lambda w: w <> '')"
+    words = lambda c: rf"len(list_filter(string_split_regex({c}, '[\x20\x09-\x0D]+'), lambda w: w <> ''))"
+    templates = ", ".join(f"({k}, {quote(name)}, {quote(text)})" for k, (name, text) in enumerate(x.TEMPLATES))
+    n = len(x.TEMPLATES)
+    paragraph = f"CASE WHEN {speaks('y')} THEN replace(y, chr(1), ' ') ELSE chr(1) END"
+    return (
+        "WITH docs AS (SELECT doc_id, '/' || coalesce(source, '_') || '/' || coalesce(lang, '_') AS dir, text FROM documents), "
+        "f AS (SELECT doc_id, dir, dir || '/' || coalesce(CAST(doc_id AS VARCHAR), '_') AS path, text FROM docs), "
+        f"l AS (SELECT doc_id, dir, text, list_transform(string_split_regex(text, '\r?\n'), lambda y: regexp_replace(y, {quote(x.SIGNS)}, '', 'g')) AS lines FROM f WHERE {speaks('text')}), "
+        "p AS (SELECT *, string_split_regex(array_to_string(lines, chr(10)), '\n(?:[ ]*\n)+') AS paras FROM l), "
+        f"u AS (SELECT DISTINCT doc_id, dir, {words('text')} AS n_words, unnest(list_distinct(list_concat(list_filter(lines, lambda y: {speaks('y')}), list_filter(paras, lambda y: {speaks('y')}), "
+        f"list_filter(string_split(array_to_string(list_transform(paras, lambda y: {paragraph}), chr(10)), chr(1)), lambda y: {speaks('y')})))) AS u FROM p), "
+        f"un AS (SELECT doc_id, dir, n_words, array_to_string({terms('u')}, ' ') AS unit, max({words('u')}) AS unit_words FROM u GROUP BY ALL), "
+        f"t AS (SELECT k, license, unnest({terms('text')}) AS term FROM (VALUES {templates}) AS v(k, license, text)), "
+        "tt AS (SELECT k, license, term, count(*) AS tf FROM t GROUP BY ALL), "
+        f"idf AS (SELECT term, ln({n + 1}.0 / count(*)) AS idf FROM tt GROUP BY term), "
+        "tw AS (SELECT k, license, term, (1 + ln(tf)) * idf AS wt FROM tt JOIN idf USING (term)), "
+        f"tn AS (SELECT k, license, sqrt(sum(wt * wt)) AS norm, CASE WHEN count(*) < {x.SHORT} THEN {x.SHORT_THRESHOLD} ELSE {x.THRESHOLD} END AS least FROM tw GROUP BY ALL), "
+        "ut AS (SELECT unit, unnest(string_split(unit, ' ')) AS term FROM (SELECT DISTINCT unit FROM un WHERE unit <> '')), "
+        f"uw AS (SELECT unit, term, (1 + ln(count(*))) * coalesce(any_value(idf), ln({n + 1}.0)) AS w FROM ut LEFT JOIN idf USING (term) GROUP BY unit, term), "
+        "nu AS (SELECT unit, sqrt(sum(w * w)) AS nu FROM uw GROUP BY unit), "
+        "sc AS (SELECT unit, k, tn.license AS license, least, round(sum(w * wt) / (any_value(norm) * any_value(nu)), 6) AS score FROM uw JOIN tw USING (term) JOIN tn USING (k) JOIN nu USING (unit) GROUP BY unit, k, tn.license, least), "
+        "best AS (SELECT unit, k, license, score FROM sc WHERE score >= least QUALIFY row_number() OVER (PARTITION BY unit ORDER BY score DESC, k) = 1), "
+        f"m AS (SELECT doc_id, dir, n_words, license, score, max(unit_words) OVER (PARTITION BY doc_id) * 10 >= n_words * 9 AS speaks FROM un JOIN best USING (unit) "
+        f"QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY license <> {quote(x.RESERVED)} DESC, score DESC, unit_words DESC, k) = 1), "
+        "dl AS (SELECT dir AS above, license AS dir_license FROM m WHERE speaks QUALIFY row_number() OVER (PARTITION BY dir ORDER BY score DESC, license DESC) = 1), "
+        "a AS (SELECT dir, above, dir_license FROM (SELECT DISTINCT dir FROM f) JOIN dl ON dir = above OR starts_with(dir, above || '/') QUALIFY row_number() OVER (PARTITION BY dir ORDER BY length(above) DESC) = 1) "
+        "SELECT f.doc_id AS doc_id, f.path AS path, m.license AS own_license, m.score AS score, a.dir_license AS inherited_license, a.above AS inherited_from, coalesce(m.license, a.dir_license) AS license "
+        "FROM f LEFT JOIN m USING (doc_id) LEFT JOIN a ON a.dir = f.dir"
+    )
+
+
 def oracle_sql() -> dict:
-    return {"op5_decontaminate": _leak_sql(), "op6_secret_scan": _secret_sql()}
+    return {"op1_license_scan": _licence_sql(), "op5_decontaminate": _leak_sql(), "op6_secret_scan": _secret_sql()}
