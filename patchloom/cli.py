@@ -8,6 +8,7 @@ import time
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .functions.bits import checkpoint
 from .operators import cover, ingest, stats
 from .sources import patchfile, statsfile, synthetic
 
@@ -80,10 +81,9 @@ def _cover(rows: DataFrame, a: argparse.Namespace, began: float) -> int:
 
 
 def _stats(rows: DataFrame, a: argparse.Namespace, began: float) -> int:
-    every = stats.hash_stats(stats.require_locations(rows))
+    every = checkpoint(stats.hash_stats(stats.require_locations(rows)))
     unique = every.count()
-    limit = unique if a.output_limit is None else min(a.output_limit, unique)
-    n = statsfile.write_stats(stats.top_k(every, limit), a.output)
+    n = statsfile.write_stats(every if a.output_limit is None else stats.top_k(every, a.output_limit), a.output)
     print(f"stats\n  unique_hashes={unique} reported={n} limit={'all' if a.output_limit is None else a.output_limit}\n  timing (ms): {1000 * (time.time() - began):.0f}")
     return 0
 

@@ -20,16 +20,24 @@ def union(bitmaps: DataFrame, by: list[str] | None = None) -> DataFrame:
     return bitmaps.groupBy(*(by or []), "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
 
 
+def intersect(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The AND of two sets of bitmaps (bucket, bits), bucket by bucket."""
+    both = a.select("bucket", "bits", F.lit(1).alias("side")).unionByName(b.select("bucket", "bits", F.lit(2).alias("side")))
+    met = both.groupBy("bucket").agg(F.count_distinct("side").alias("sides"), F.bitmap_and_agg("bits").alias("bits"))
+    return met.where("sides = 2").select("bucket", "bits")
+
+
 def popcount(bitmaps: DataFrame, by: list[str] | None = None) -> DataFrame:
     return bitmaps.groupBy(*(by or [])).agg(F.coalesce(F.sum(F.bitmap_count("bits")), F.lit(0)).alias("n"))
 
 
-def members(bitmaps: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """The ids of each set; bytes without a bit are skipped."""
+def members(bitmaps: DataFrame, by: list[str] | None = None, ascending: bool = False) -> DataFrame:
+    """The ids of each set, in ascending order if asked; bytes without a bit are skipped."""
     cells = bitmaps.select(*(by or []), "bucket", "bits", F.explode(F.sequence(F.lit(0), F.octet_length("bits") - 1)).alias("i"))
     byte = F.conv(F.hex(F.expr("substring(bits, i + 1, 1)")), 16, 10).cast("int")
     bits = cells.withColumn("byte", byte).where("byte > 0").select(*(by or []), "bucket", "i", "byte", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("b"))
-    return bits.where(F.getbit("byte", F.col("b")) == 1).select(*(by or []), ((F.col("bucket") - 1) * 32768 + F.col("i") * 8 + F.col("b")).alias("element_id"))
+    found = bits.where(F.getbit("byte", F.col("b")) == 1).select(*(by or []), ((F.col("bucket") - 1) * 32768 + F.col("i") * 8 + F.col("b")).alias("element_id"))
+    return found.orderBy(*(by or []), "element_id") if ascending else found
 
 
 def intersect_count(a: DataFrame, b: DataFrame, element: str = "element_id") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bits import checkpoint, unsigned
-from .ingest import incidence
+from .ingest import dense, incidence, validate
 
 
 def dictionary(incidences: DataFrame) -> DataFrame:
@@ -18,15 +18,7 @@ def dictionary(incidences: DataFrame) -> DataFrame:
     partitions before plus the place in its own.  Only a count per partition reaches the driver.
     """
     ranged = incidences.select("hash").distinct().repartitionByRange(unsigned("hash")).sortWithinPartitions(unsigned("hash"))
-    kept = checkpoint(ranged)
-    placed = kept.select("hash", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("place"))
-    counts = sorted(placed.groupBy("part").count().collect())
-    starts, total = [], 0
-    for part, n in counts:
-        starts.append((part, total))
-        total += n
-    bases = incidences.sparkSession.createDataFrame(starts, "part int, start long")
-    return placed.join(F.broadcast(bases), "part").select("hash", (F.col("start") + F.col("place")).alias("element_id"))  # a row per partition
+    return dense(checkpoint(ranged), "element_id").select("hash", "element_id")
 
 
 def encode(incidences: DataFrame, words: DataFrame | None = None) -> DataFrame:
@@ -50,6 +42,28 @@ def patch_csr(encoded: DataFrame) -> DataFrame:
     return encoded.groupBy("patch_id").agg(F.array_sort(F.collect_list("element_id")).alias("elements"))
 
 
+def local_ids(encoded: DataFrame, elements: int, shards: int) -> DataFrame:
+    """Encoded incidences as (shard, patch_id, local_id): ids count from 0 in each shard's range of ids."""
+    width = max(1, -(-elements // shards))
+    return encoded.select(F.expr(f"element_id div {width}L").alias("shard"), "patch_id", F.expr(f"element_id % {width}L").alias("local_id"))
+
+
+def sub_csr(encoded: DataFrame, elements: int, shards: int) -> DataFrame:
+    """(shard, patch_id, elements): the rows of each shard's part of the matrix, with ascending local ids."""
+    return local_ids(encoded, elements, shards).groupBy("shard", "patch_id").agg(F.array_sort(F.collect_list("local_id")).alias("elements"))
+
+
+def longest_rows(encoded: DataFrame, elements: int, shards: int) -> DataFrame:
+    """(shard, longest): the greatest row length in each shard's part, counted without building the rows."""
+    return local_ids(encoded, elements, shards).groupBy("shard", "patch_id").count().groupBy("shard").agg(F.max("count").alias("longest"))
+
+
+def sorted_rows(encoded: DataFrame, by: str = "patch_id") -> DataFrame:
+    """The index as sorted pairs in ranges of `by`: what CSR and inverted lists hold, without a row that grows with a hot key."""
+    other = "element_id" if by == "patch_id" else "patch_id"
+    return encoded.select(by, other).repartitionByRange(by, other).sortWithinPartitions(by, other)
+
+
 def inverted_index(encoded: DataFrame) -> DataFrame:
     """(element_id, patches) with ascending patches."""
     return encoded.groupBy("element_id").agg(F.array_sort(F.collect_list("patch_id")).alias("patches"))
@@ -71,7 +85,7 @@ class PatchSet:
     """The indexes of one set of patches; built on demand, no algorithm state."""
 
     def __init__(self, occurrence: DataFrame):
-        self.incidence = incidence(occurrence)
+        self.incidence = incidence(validate(occurrence))
 
     @cached_property
     def dictionary(self) -> DataFrame:

@@ -5,15 +5,51 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.bits import checkpoint
 from ..schema import NESTED
 
 
 def explode_patches(nested: DataFrame) -> DataFrame:
-    """(patch_id, occ) or (patch_id, hashes) -> occurrences."""
+    """(patch_id, occ) or (patch_id, hashes) -> occurrences; a column `slot` stays."""
+    ids = ["patch_id", *(["slot"] if "slot" in nested.columns else [])]
     if "occ" in nested.columns:
-        return nested.select("patch_id", F.posexplode("occ").alias("pos", "o")).select("patch_id", "pos", "o.hash", "o.x", "o.y")
+        return nested.select(*ids, F.posexplode("occ").alias("pos", "o")).select(*ids, "pos", "o.hash", "o.x", "o.y")
     none = F.lit(None).cast("double")
-    return nested.select("patch_id", F.posexplode("hashes").alias("pos", "hash")).select("patch_id", "pos", "hash", none.alias("x"), none.alias("y"))
+    return nested.select(*ids, F.posexplode("hashes").alias("pos", "hash")).select(*ids, "pos", "hash", none.alias("x"), none.alias("y"))
+
+
+def distinct_ids(nested: DataFrame) -> DataFrame:
+    """The nested patches; an error if an id is null or repeats (one narrow aggregation)."""
+    bad = nested.groupBy("patch_id").agg(F.count("*").alias("n")).where("n > 1 or patch_id is null").limit(1).collect()
+    if bad:
+        raise ValueError("a patch id is null" if bad[0]["patch_id"] is None else f"patch id repeats: {bad[0]['patch_id']}")
+    return nested
+
+
+def with_slots(nested: DataFrame, order: list[str]) -> DataFrame:
+    """The nested patches with `slot`: their place, from 0, in the order of the given columns."""
+    ids = checkpoint(nested.select("patch_id", *(c for c in order if c != "patch_id")).repartitionByRange(*order).sortWithinPartitions(*order))
+    return nested.join(dense(ids, "slot").select("patch_id", "slot"), "patch_id")
+
+
+def slot_list(occurrence: DataFrame) -> DataFrame:
+    """(slot, patch_id), one row a slot; an error if a slot stands for two patches or a patch has two slots."""
+    one = occurrence.groupBy("slot").agg(F.min("patch_id").alias("patch_id"), F.max("patch_id").alias("other"))
+    of_patch = one.groupBy("patch_id").count().where("count > 1").limit(1).count()
+    if of_patch or one.where("slot is null or patch_id <> other").limit(1).count():
+        raise ValueError("slots and patch ids do not pair off")
+    return one.select("slot", "patch_id")
+
+
+def dense(kept: DataFrame, name: str) -> DataFrame:
+    """The rows of a range-partitioned, sorted checkpoint with their place from 0; a count by partition reaches the driver."""
+    placed = kept.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_place"))
+    starts, total = [], 0
+    for part, n in sorted(placed.groupBy("_part").count().collect()):
+        starts.append((part, total))
+        total += n
+    bases = kept.sparkSession.createDataFrame(starts, "_part int, _start long")
+    return placed.join(F.broadcast(bases), "_part").select(*kept.columns, (F.col("_start") + F.col("_place")).alias(name))  # a row per partition
 
 
 def nest_occurrences(occurrence: DataFrame) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -11,6 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.bits import SIGN, checkpoint, hex16, shared_folder
 from ..operators import bitset, cover, index, ingest, stats
 from ..sources import patchfile, statsfile, synthetic
 
@@ -63,6 +63,8 @@ STATS = "SELECT l_partkey AS hash, count(DISTINCT l_suppkey) AS n_patches, min({
 TOP = 100
 FIRST = "SELECT DISTINCT patch_id FROM ({inc}) WHERE patch_id <= 3"
 SHARDS = 7
+#: The unsigned value of a hash that has its highest bit set if odd.
+HIGH = "CASE WHEN hash % 2 = 1 THEN CAST(hash AS UBIGINT) + 9223372036854775808::UBIGINT ELSE CAST(hash AS UBIGINT) END"
 
 
 def _joined(column: str):
@@ -90,25 +92,11 @@ def dictionary_encode(spark, sf_dir):
 
 
 def reverse_map(spark, sf_dir):
-    words = index.dictionary(incidences(spark, sf_dir))
-    return index.reverse_map(words, words.select("element_id").where("element_id % 3 = 0"))
-
-
-def reverse_map_all(spark, sf_dir):
     words = index.dictionary(incidences(spark, sf_dir))
     return index.reverse_map(words, words.select("element_id"))
 
 
 def patches_of(spark, sf_dir):
-    """Every second element, and one past the end, which no patch holds."""
-    encoded = _encoded(spark, sf_dir)
-    ids = encoded.select("element_id").distinct()
-    wanted = ids.where("element_id % 2 = 0").union(ids.agg(F.max("element_id") + 1))
-    found = index.patches_of(index.inverted_index(encoded), wanted)
-    return found.select("element_id", _joined("patches").alias("patches"), F.size("patches").cast("long").alias("n"))
-
-
-def patches_of_all(spark, sf_dir):
     """Every element, and one past the end, which no patch holds."""
     encoded = _encoded(spark, sf_dir)
     ids = encoded.select("element_id").distinct()
@@ -118,14 +106,6 @@ def patches_of_all(spark, sf_dir):
 
 
 def patch_lookup(spark, sf_dir):
-    """Even patches, and one that does not exist."""
-    encoded = _encoded(spark, sf_dir)
-    ids = encoded.select("patch_id").distinct()
-    wanted = ids.where("patch_id % 2 = 0").union(ids.agg(F.max("patch_id") + 1))
-    return index.patch_lookup(index.patch_csr(encoded), wanted).select("patch_id", "size")
-
-
-def patch_lookup_all(spark, sf_dir):
     """Every patch, and one that does not exist."""
     encoded = _encoded(spark, sf_dir)
     ids = encoded.select("patch_id").distinct()
@@ -133,6 +113,35 @@ def patch_lookup_all(spark, sf_dir):
     return index.patch_lookup(index.patch_csr(encoded), wanted).select("patch_id", "size")
 
 
+def sub_csr(spark, sf_dir):
+    """The rows of each shard's part of the matrix, with ids local to the shard."""
+    patches = index.PatchSet(occurrences(spark, sf_dir))
+    return index.sub_csr(patches.encoded, patches.n, SHARDS).select("shard", "patch_id", _joined("elements").alias("elements"))
+
+
+def longest_rows(spark, sf_dir):
+    patches = index.PatchSet(occurrences(spark, sf_dir))
+    return index.longest_rows(patches.encoded, patches.n, SHARDS)
+
+
+def sorted_rows(spark, sf_dir):
+    return index.sorted_rows(_encoded(spark, sf_dir), "element_id")
+
+
+def _high_hashes(spark, sf_dir):
+    """Occurrences whose hashes lie on both sides of 2 ** 63: odd parts have the highest bit set."""
+    return occurrences(spark, sf_dir).withColumn("hash", F.when(F.col("hash") % 2 == 1, F.col("hash").bitwiseXOR(F.lit(SIGN))).otherwise(F.col("hash")))
+
+
+def dictionary_unsigned(spark, sf_dir):
+    return index.dictionary(ingest.incidence(_high_hashes(spark, sf_dir))).select(hex16("hash").alias("hash"), "element_id")
+
+
+def hash_stats_topk_unsigned(spark, sf_dir):
+    top = stats.top_k(stats.hash_stats(_high_hashes(spark, sf_dir)), TOP)
+    return top.select(hex16("hash").alias("hash"), "n_patches", "rep.x", "rep.y")
+
+
 def hash_stats_all(spark, sf_dir):
     return stats.hash_stats(stats.require_locations(occurrences(spark, sf_dir))).select("hash", "n_patches", "rep.x", "rep.y")
 
@@ -169,6 +178,19 @@ def bitset_test(spark, sf_dir):
     return bitset.test(bitset.build(encoded.where("patch_id = 1")), encoded.select("element_id").distinct())
 
 
+def bitset_members_ascending(spark, sf_dir):
+    """The ids of all patches' bitmaps, numbered in the order in which they are enumerated."""
+    found = bitset.members(bitset.build(_encoded(spark, sf_dir), ["patch_id"]), ["patch_id"], ascending=True)
+    return ingest.dense(checkpoint(found), "place")
+
+
+def bitset_and_count(spark, sf_dir):
+    """Bits set in the bitmaps of patch 1 and of patch 2."""
+    encoded = _encoded(spark, sf_dir)
+    one, two = (bitset.build(encoded.where(F.col("patch_id") == p)) for p in (1, 2))
+    return bitset.popcount(bitset.intersect(one, two))
+
+
 def intersect_count(spark, sf_dir):
     rows = incidences(spark, sf_dir)
     return bitset.intersect_count(rows.where("patch_id = 1"), rows.where("patch_id = 2"), "hash")
@@ -207,12 +229,17 @@ def cover_grouped(spark, sf_dir):
 def patch_file_round_trip(spark, sf_dir):
     """Written as a patch file with locations and read again; suppliers count from 0, as patches of a file do."""
     rows = occurrences(spark, sf_dir).withColumn("pos", F.monotonically_increasing_id().cast("int"))
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    path = os.path.join(base.removeprefix("file://"), f"patches-{uuid.uuid4().hex}.bin")
+    path = os.path.join(shared_folder(spark).removeprefix("file://"), f"patches-{uuid.uuid4().hex}.bin")
     patchfile.write_patches(ingest.nest_occurrences(rows), path)
     return patchfile.read_patches(spark, path, located=True).select("patch_id", "hash", "x", "y")
 
 
+def cover_in_input_order(spark, sf_dir):
+    """A cover whose ties fall to the input position: here suppliers come in descending order."""
+    nested = ingest.nest_occurrences(occurrences(spark, sf_dir)).withColumn("back", -F.col("patch_id"))
+    return cover.PatchSelector().select(ingest.with_slots(nested, ["back"])).select("step", "patch_id", "gain", "covered")
+
+
 def synthetic_summary(spark, sf_dir):
     """The published small workload: its universe and its cover."""
     rows = synthetic.generate(spark, synthetic.Parameters(10_000, 1_000, 50, 0.4, 42))
@@ -276,7 +303,7 @@ def queries() -> dict[str, Query]:
         "hash_degree": lambda s, d: stats.hash_degree(incidences(s, d)),
         "hash_min_location": lambda s, d: stats.min_location(occurrences(s, d)).select("hash", "rep.x", "rep.y"),
     }
-    named = (dictionary_encode, reverse_map, reverse_map_all, patch_csr, inverted_index, patches_of, patches_of_all, patch_lookup, patch_lookup_all, hash_stats_topk, hash_stats_all, stats_records, newly_covered, covered_union, intersect_count, gain_after_k, best_patch, contiguous_slice, element_shard, bitset_popcount, bitset_members, bitset_test, cover_summary, cover_grouped, patch_file_round_trip, synthetic_summary)
+    named = (dictionary_encode, reverse_map, patch_csr, inverted_index, patches_of, patch_lookup, sub_csr, longest_rows, sorted_rows, dictionary_unsigned, hash_stats_topk_unsigned, bitset_members_ascending, bitset_and_count, cover_in_input_order, hash_stats_topk, hash_stats_all, stats_records, newly_covered, covered_union, intersect_count, gain_after_k, best_patch, contiguous_slice, element_shard, bitset_popcount, bitset_members, bitset_test, cover_summary, cover_grouped, patch_file_round_trip, synthetic_summary)
     plain |= {f.__name__: f for f in named}
     plain |= {f"greedy_cover_{c}": _cover(c, "patch") for c in (*COVERS, "documents_words")}
     return plain | {f"greedy_cover_{c}_by_element": _cover(c, "element") for c in COVERS}
@@ -287,6 +314,9 @@ def oracle_sql() -> dict[str, str]:
     done = f"SELECT hash FROM ({INC}) WHERE patch_id IN ({first})"
     gains = f"SELECT patch_id, count(*) AS gain FROM ({INC}) WHERE hash NOT IN ({done}) GROUP BY 1"
     inverted = f"SELECT element_id, string_agg(patch_id::VARCHAR, ',' ORDER BY patch_id) AS patches, count(*) AS n FROM ({ENC}) GROUP BY 1"
+    width = f"(((SELECT count(*) FROM ({DICT})) + {SHARDS - 1}) // {SHARDS})"
+    local = f"SELECT patch_id, element_id // {width} AS shard, element_id % {width} AS local_id FROM ({ENC})"
+    high = f"SELECT DISTINCT {HIGH} AS u FROM ({INC})"
     cells = f"SELECT max(element_id) AS last FROM ({DICT})"
     out = {
         "incidence": INC,
@@ -295,14 +325,19 @@ def oracle_sql() -> dict[str, str]:
         "hash_degree": f"SELECT hash, count(*) AS degree FROM ({INC}) GROUP BY 1",
         "hash_min_location": f"SELECT hash, rep.x AS x, rep.y AS y FROM ({STATS})",
         "dictionary_encode": DICT,
-        "reverse_map": f"SELECT element_id, hash FROM ({DICT}) WHERE element_id % 3 = 0",
         "patch_csr": f"SELECT patch_id, string_agg(element_id::VARCHAR, ',' ORDER BY element_id) AS elements FROM ({ENC}) GROUP BY 1",
         "inverted_index": f"SELECT element_id, patches FROM ({inverted})",
-        "patches_of": f"SELECT element_id, patches, n FROM ({inverted}) WHERE element_id % 2 = 0 UNION ALL SELECT last + 1, '', 0 FROM ({cells})",
-        "patch_lookup": f"SELECT patch_id, count(*) AS size FROM ({INC}) WHERE patch_id % 2 = 0 GROUP BY 1 UNION ALL SELECT max(patch_id) + 1, 0 FROM ({INC})",
-        "reverse_map_all": f"SELECT element_id, hash FROM ({DICT})",
-        "patches_of_all": f"SELECT element_id, patches, n FROM ({inverted}) UNION ALL SELECT last + 1, '', 0 FROM ({cells})",
-        "patch_lookup_all": f"SELECT patch_id, count(*) AS size FROM ({INC}) GROUP BY 1 UNION ALL SELECT max(patch_id) + 1, 0 FROM ({INC})",
+        "reverse_map": f"SELECT element_id, hash FROM ({DICT})",
+        "patches_of": f"SELECT element_id, patches, n FROM ({inverted}) UNION ALL SELECT last + 1, '', 0 FROM ({cells})",
+        "patch_lookup": f"SELECT patch_id, count(*) AS size FROM ({INC}) GROUP BY 1 UNION ALL SELECT max(patch_id) + 1, 0 FROM ({INC})",
+        "sub_csr": f"SELECT shard, patch_id, string_agg(local_id::VARCHAR, ',' ORDER BY local_id) AS elements FROM ({local}) GROUP BY 1, 2",
+        "longest_rows": f"SELECT shard, max(n) AS longest FROM (SELECT shard, patch_id, count(*) AS n FROM ({local}) GROUP BY 1, 2) GROUP BY 1",
+        "sorted_rows": f"SELECT element_id, patch_id FROM ({ENC})",
+        "dictionary_unsigned": f"SELECT printf('%016x', u) AS hash, row_number() OVER (ORDER BY u) - 1 AS element_id FROM ({high})",
+        "hash_stats_topk_unsigned": f"SELECT printf('%016x', {HIGH}) AS hash, n_patches, rep.x AS x, rep.y AS y FROM ({STATS}) ORDER BY n_patches DESC, {HIGH} LIMIT {TOP}",
+        "bitset_members_ascending": f"SELECT patch_id, element_id, row_number() OVER (ORDER BY patch_id, element_id) - 1 AS place FROM ({ENC})",
+        "bitset_and_count": f"SELECT count(*) AS n FROM (SELECT element_id FROM ({ENC}) WHERE patch_id = 1 INTERSECT SELECT element_id FROM ({ENC}) WHERE patch_id = 2)",
+        "cover_in_input_order": f"SELECT step, -patch_id AS patch_id, gain, covered FROM ({_cover_sql('SELECT DISTINCT -l_suppkey AS pid, l_partkey AS e FROM lineitem')})",
         "hash_stats_all": f"SELECT hash, n_patches, rep.x AS x, rep.y AS y FROM ({STATS})",
         "hash_stats_topk": f"SELECT hash, n_patches, rep.x AS x, rep.y AS y FROM ({STATS}) ORDER BY n_patches DESC, hash LIMIT {TOP}",
         "stats_records": f"SELECT hash, format('{{:016x}}', hash) || chr(9) || format('{{:20d}}', n_patches) || chr(9) || format('{{:25.17e}}', rep.x) || chr(9) || format('{{:25.17e}}', rep.y) AS record FROM ({STATS})",

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import os
+import uuid
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.bits import to_unsigned, unsigned
+from ..functions.bits import checkpoint, shared_folder, to_unsigned, unsigned
 
 RECORD_BYTES = 90
 
@@ -28,15 +28,34 @@ def header(k: int) -> str:
 
 
 def write_stats(top: DataFrame, path: str) -> int:
-    """Write the rows of a top-k (bounded by its k) in order; replaces the file. Returns the records."""
-    n = 0
-    rows = top.orderBy(F.desc("n_patches"), unsigned("hash")).collect()
-    with open(f"{path}.new", "w", newline="") as out:
-        out.write(header(len(rows)))
-        for r in rows:
-            out.write(format_record(r["hash"], r["n_patches"], r["rep"]["x"], r["rep"]["y"]))
-            n += 1
-    os.replace(f"{path}.new", path)
+    """Write the rows in order of rank; replaces the file.  Returns the records.
+
+    Executors sort ranges of the rank and format their records into parts in the shared folder; the
+    driver only streams the parts, which are in order, into one file.
+    """
+    spark = top.sparkSession
+    ranked = top.select("*", unsigned("hash").alias("_u"), (-F.col("n_patches")).alias("_rank"))
+    placed = checkpoint(ranked.repartitionByRange("_rank", "_u").sortWithinPartitions("_rank", "_u").drop("_rank", "_u"))
+    n, parts = placed.count(), f"{shared_folder(spark)}/stats-{uuid.uuid4().hex}"
+    records(placed).select("record").write.text(parts)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(parts)
+    system = folder.getFileSystem(conf)
+    target = jvm.org.apache.hadoop.fs.Path(jvm.java.io.File(path).toURI()) if "://" not in path else jvm.org.apache.hadoop.fs.Path(path)
+    new = jvm.org.apache.hadoop.fs.Path(f"{target.toString()}.new")
+    store = target.getFileSystem(conf)
+    store = store.getRawFileSystem() if hasattr(store, "getRawFileSystem") and target.toUri().getScheme() == "file" else store
+    out = store.create(new, True)
+    out.write(header(n).encode())
+    for status in sorted(system.listStatus(folder), key=lambda s: s.getPath().getName()):
+        if status.getPath().getName().startswith("part-"):
+            part = system.open(status.getPath())
+            jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, conf, False)
+            part.close()
+    out.close()
+    store.delete(target, False)
+    store.rename(new, target)
+    system.delete(folder, True)
     return n
 
 
