@@ -58,27 +58,40 @@ class _Stopwatch:
         self.took[name], self.at = self.took.get(name, 0.0) + now - self.at, now
 
 
-def greedy(slots: np.ndarray, gains: np.ndarray, sets: list[np.ndarray], n: int, outside: tuple[int, int] | None = None) -> list[tuple[int, int]]:
-    """(index, gain) of the winners in order, by a heap of stale gains; `outside` is the (gain, slot) to beat.
+def greedy(slots: np.ndarray, codes: np.ndarray, offsets: np.ndarray, n: int, outside: tuple[int, int] | None = None) -> list[tuple[int, int]]:
+    """(index, gain) of the winners in order; `outside` is the (gain, slot) to beat.
 
-    Elements are numbered from 0 to n - 1.
+    Patch i holds the distinct elements codes[offsets[i]:offsets[i + 1]], numbered from 0 to n - 1.  A
+    winner's new elements are looked up in the inverted lists and taken off all gains, each incidence
+    once; the heap may hold a patch with a gain that it had before, and puts it back with the one it has.
     """
+    sizes = np.diff(offsets)
+    gains = sizes.copy()
+    owner = np.repeat(np.arange(len(sizes)), sizes)[np.argsort(codes, kind="stable")]
+    begin = np.concatenate(([0], np.cumsum(np.bincount(codes, minlength=n))))
     covered = np.zeros(n, bool)
-    heap = [(-int(g), int(s), i) for i, (g, s) in enumerate(zip(gains, slots, strict=True)) if g > 0]
+    some = np.flatnonzero(gains)
+    heap = list(zip((-gains[some]).tolist(), slots[some].tolist(), some.tolist(), strict=True))
     heapq.heapify(heap)
     won = []
     while heap:
         stale, slot, i = heap[0]
-        gain = int(len(sets[i]) - np.count_nonzero(covered[sets[i]]))
+        gain = int(gains[i])
         if gain != -stale:
-            heapq.heappop(heap)
             if gain:
-                heapq.heappush(heap, (-gain, slot, i))
+                heapq.heapreplace(heap, (-gain, slot, i))
+            else:
+                heapq.heappop(heap)
             continue
         if outside and (-gain, slot) > (-outside[0], outside[1]):
             break
         heapq.heappop(heap)
-        covered[sets[i]] = True
+        own = codes[offsets[i] : offsets[i + 1]]
+        new = own[~covered[own]]
+        covered[new] = True
+        length = begin[new + 1] - begin[new]
+        holders = owner[np.repeat(begin[new] - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))]
+        np.subtract.at(gains, holders, 1)
         won.append((i, gain))
     return won
 
@@ -124,8 +137,9 @@ def _settle(slots: np.ndarray, own: pa.Table, outside: tuple[int, int] | None) -
     order = np.argsort(patches, kind="stable")
     codes, patches = codes[order], patches[order]
     starts, ends = np.searchsorted(patches, slots, "left"), np.searchsorted(patches, slots, "right")
-    sets = [codes[a:b] for a, b in zip(starts, ends, strict=True)]
-    return greedy(slots, ends - starts, sets, len(known), outside)
+    if (starts[1:] != ends[:-1]).any():  # slots come by gain: their elements in that order
+        codes = np.concatenate([codes[a:b] for a, b in zip(starts, ends, strict=True)])
+    return greedy(slots, codes, np.concatenate(([0], np.cumsum(ends - starts))), len(known), outside)
 
 
 def cover_lazy(incidences: DataFrame, partition_by: str = "patch", batch_patches: int = BATCH_PATCHES, batch_elements: int = BATCH_ELEMENTS, profile: Profile | None = None) -> DataFrame:
@@ -212,10 +226,8 @@ def cover_grouped(incidences: DataFrame, group: str, group_rows: int = GROUP_ROW
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
         codes, known = pd.factorize(rows["hash"])
         slots, of = np.unique(rows["patch_id"].to_numpy(), return_inverse=True)
-        order = np.argsort(of, kind="stable")
-        cuts = np.cumsum(np.bincount(of))
-        sets = np.split(codes[order], cuts[:-1])
-        won = greedy(slots, np.array([len(s) for s in sets]), sets, len(known))
+        offsets = np.concatenate(([0], np.cumsum(np.bincount(of))))
+        won = greedy(slots, codes[np.argsort(of, kind="stable")], offsets, len(known))
         gains = np.array([g for _, g in won], np.int64)
         return pd.DataFrame({group: rows[group].iloc[0], "step": np.arange(1, len(won) + 1), "patch_id": [int(slots[i]) for i, _ in won], "gain": gains, "covered": np.cumsum(gains)})
 
