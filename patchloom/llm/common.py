@@ -39,6 +39,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, in whatever store it lies."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def small_batches(df: DataFrame) -> DataFrame:
     """`df`, in a session whose Arrow batches hold BATCH_BYTES or so: what a Python worker holds at once.
 
@@ -289,5 +295,5 @@ def running(df: DataFrame, by: list[str], key: str, order: list[str], buckets: i
 
 
 def buckets_for(rows: int) -> int:
-    """About as many ranges as each holds rows, up to a factor: neither grows like the rows."""
-    return max(1, math.isqrt(rows) // 4)
+    """About as many ranges as each holds rows: neither grows like the rows."""
+    return max(1, math.isqrt(rows))

@@ -11,7 +11,8 @@ window share.  Fingerprints that occur twice are joined back to their places; ar
 is extended both ways, window by window: every window that has the fingerprint is joined by its own hash
 to its first place, and the lines of all other places are deleted.  (A fingerprint's first place won't do:
 it may hold less of the run than a later one.)  Only hashes and positions move, so a first copy that
-many documents repeat is a hot key of one row a side and not a document that meets them all.
+many documents repeat is a hot key with one row on the other side (broadcast, if it is that hot) and not a
+document that meets them all.
 
 Edge cases: lines are compared without blanks at their ends; lines without a word are kept, but those
 inside a deleted run go with it; null texts have no lines; null ids sort first; rows that repeat an
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Spans, Texts, checkpoint, slices, small_batches, text_bytes, unused
+from .common import Spans, Texts, checkpoint, left_join_hot, slices, small_batches, text_bytes, unused
 
 RUN_WORDS, MATCH_WORDS = 50, 40
 
@@ -158,13 +159,15 @@ def repeated_lines(docs: DataFrame, run_words: int = RUN_WORDS, match_words: int
     lines = own.mapInArrow(_lines, "doc_id long, h long, lines array<long>, words array<int>, at array<int>")
     lines = checkpoint(lines.dropDuplicates(["doc_id", "h"]))
     prints = checkpoint(lines.mapInArrow(_fingerprints(run_words, match_words), "key long, doc_id long, h long, pos int"))
-    twice = prints.groupBy("key").count().where("count > 1").select("key")
-    met = prints.join(twice, "key").groupBy("doc_id", "h").agg(F.collect_set("pos").alias("pos")).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "pos")
+    twice = checkpoint(prints.groupBy("key").count().where("count > 1"))
+    again = left_join_hot(prints, twice.select("key", F.lit(True).alias("again")), "key", prints.count(), twice, F.xxhash64("doc_id", "h", "pos")).where("again")
+    met = again.groupBy("doc_id", "h").agg(F.collect_set("pos").alias("pos")).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "pos")
     both = lines.join(met, (F.col("h") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("doc_id", "h", "lines", "words", "at", "pos")
     windows = checkpoint(both.mapInArrow(_repeated_windows(run_words, match_words), "key long, doc_id long, h long, first int, last int"))
     place = F.struct("doc_id", "h", "first")
-    firsts = windows.groupBy("key").agg(F.min(place).alias("p"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = windows.join(firsts, "key").where(~place.eqNullSafe(F.col("p")))
+    firsts = checkpoint(windows.groupBy("key").agg(F.min(place).alias("p"), F.count("*").alias("count")).where("count > 1"))
+    placed = left_join_hot(windows, firsts.select("key", "p"), "key", windows.count(), firsts, F.xxhash64("doc_id", "h", "first"))
+    later = placed.where(F.col("p").isNotNull() & ~place.eqNullSafe(F.col("p")))
     ranges = later.groupBy("doc_id", "h").agg(F.collect_set(F.struct("first", "last")).alias("r"))
     return ranges.select("doc_id", "h", F.col("r.first").alias("first"), F.col("r.last").alias("last")).mapInArrow(_covered, "doc_id long, h long, removed array<int>")
 

@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, repeated rows, empty tables and clashing columns, for every operator."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from patchloom.llm import decontaminate, langid, license_scan, linededup, mixing, quality, secrets, sharding, simhash, toxicity
@@ -107,6 +108,25 @@ def test_simhash_of_odd_rows(odd):
     assert kept.columns == odd.columns and kept.count() == len({r["root"] for r in found})
 
 
+def test_licences_of_odd_rows(odd):
+    found = license_scan.license_scan(odd.withColumn("path", F.when(F.col("doc_id") < 4, F.concat_ws("/", F.lit("p"), "source", F.col("doc_id").cast("string")))))
+    assert found.count() == N and found.where("license is not null").count() == 0
+    ties = odd.where("doc_id = 8").select(F.lit("q/LICENSE").alias("path"), F.lit("SPDX-License-Identifier: MIT\nSPDX-License-Identifier: ISC").alias("text"))
+    assert license_scan.license_scan(ties.union(ties)).collect()[1]["own_license"] == "isc"  # the smaller template
+
+
+def test_toxicity_of_odd_rows(odd, labels):
+    found = toxicity.score_toxicity(odd, labels).collect()
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for r in found)
+    assert {r["held_out"] for r in found if r["doc_id"] is None} == {True}
+    assert len({r["score"] for r in found if r["doc_id"] in (3, 4)}) == 1
+
+
+def test_equal_cosines_go_to_the_smaller_code(documents):
+    docs = documents([(i, "ab cd ef", lang, "a") for i, lang in enumerate(["xx", "aa"] * 20)])
+    assert {r["lang_pred"] for r in langid.identify(docs).collect()} == {"aa"}
+
+
 def test_languages_of_odd_rows(odd):
     found = {r["doc_id"]: r for r in langid.identify(odd).collect()}
     assert {found[i]["lang_pred"] for i in (3, 4, 5)} == {"und"} and found[None]["held_out"]
