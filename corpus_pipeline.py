@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from patchloom.llm import decontaminate, mixing, neardup, quality, sharding
-from patchloom.llm.common import read_table, shared_folder
+from patchloom.llm.common import read_table, remove, shared_folder
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,7 +20,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays; near-duplicates share 80 % of their 5-word shingles."""
+    """One document of each group stays: operator 8's search by similarity, 80 % of the 5-word shingles."""
     return neardup.near_dedup(docs)
 
 
@@ -52,9 +52,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The result of the last stage; the tables of the others go when the next one is written."""
     folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
     docs = read_table(spark, sf_dir, "documents")
+    before = None
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        path = f"{folder}/{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
     return docs
