@@ -20,6 +20,8 @@ result; columns beside the id and the text are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,45 +38,41 @@ BROADCAST_ROWS = 200_000
 FILTER_BITS, FILTER_WORDS = 16, 1 << 15
 
 
-def token_hashes(text: Column) -> Column:
-    """The hashes of the words of a text, in order."""
-    words = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+")
-    return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))
-
-
-def _seed(tokens: Column, i: Column, mask: tuple) -> Column:
-    return F.xxhash64(*(F.get(tokens, i + o) for o in mask))
+def tokens_of(text: Column) -> Column:
+    """The words of a text, in order."""
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
 def _short_mask(length: int) -> tuple:
     return tuple(range(length))
 
 
-def _positions(tokens: Column, mask: tuple) -> Column:
-    """Where a mask fits; that of a very short item only at the start of a document of its length."""
-    fits = F.size(tokens) == len(mask) if len(mask) < LEAST_INSIDE else F.size(tokens) > mask[-1]
-    return F.when(fits, F.sequence(F.lit(0), F.size(tokens) - 1 - mask[-1])).otherwise(F.array().cast("array<int>"))
+def _seed(mask: tuple) -> Column:
+    """The seed of a mask at `pos`; null where it does not fit, and that of a very short item but for a document of its length."""
+    size, pos = F.size("tokens"), F.col("pos")
+    fits = (size == len(mask)) & (pos == 0) if len(mask) < LEAST_INSIDE else pos + mask[-1] < size
+    return F.when(fits, F.xxhash64(*(F.get("tokens", pos + o) for o in mask)))
 
 
 def seeds(rows: DataFrame, carried: list[str], masks: dict[int, tuple], bitmap: list[int] | None = None) -> DataFrame:
     """A row for each mask (by number) and position of `tokens`: the carried columns, m, pos and seed.
 
-    With a bitmap, positions are filtered by it first and only those that pass get a row.
+    With a bitmap only seeds in it.  Positions are rows of generated code, not steps of a lambda, and the
+    tokens stay where they are until the seeds are taken.
     """
-    tokens = F.col("tokens")
-
-    def of_mask(m: int, mask: tuple) -> Column:
-        places = _positions(tokens, mask)
-        if bitmap:
-            words = F.lit(bitmap).cast("array<bigint>")
-            places = F.filter(places, lambda i: _member(words, len(bitmap), _seed(tokens, i, mask)))
-        return F.transform(places, lambda i: F.struct(F.lit(m).alias("m"), i.alias("pos"), _seed(tokens, i, mask).alias("seed")))
-
-    return rows.select(*carried, F.inline(F.concat(*(of_mask(m, mask) for m, mask in masks.items()))))
+    placed = rows.select(*carried, "tokens", F.posexplode("tokens").alias("pos", "token"))
+    every = F.array(*(F.struct(F.lit(m).alias("m"), _seed(mask).alias("seed")) for m, mask in masks.items()))
+    if bitmap is None:
+        return placed.select(*carried, "pos", F.inline(every)).where("seed is not null")
+    words = F.lit(bitmap).cast("array<bigint>")
+    some = reduce(Column.__or__, (F.coalesce(_member(words, len(bitmap), _seed(mask)), F.lit(False)) for mask in masks.values()))
+    found = placed.where(some).select(*carried, "pos", F.inline(every)).where("seed is not null")
+    return found.where(_member(words, len(bitmap), F.col("seed"))) if len(masks) > 1 else found
 
 
 def _member(words: Column, n: int, seed: Column) -> Column:
-    place = F.pmod(seed, F.lit(n * 64)).cast("int")
+    """Whether the bit of a seed is set; n is a power of two."""
+    place = seed.bitwiseAND(F.lit(n * 64 - 1)).cast("int")
     return F.getbit(F.get(words, F.shiftright(place, 6)), place.bitwiseAND(F.lit(63))) == 1
 
 
@@ -82,7 +80,7 @@ def seed_filter(bench: DataFrame) -> list[int]:
     """A bitmap over the benchmark's seeds, about FILTER_BITS bits for each, as at most FILTER_WORDS words."""
     n = 1 << max(4, (bench.count() * FILTER_BITS // 64).bit_length())
     n = min(n, FILTER_WORDS)
-    place = F.pmod("seed", F.lit(n * 64)).cast("int")
+    place = F.col("seed").bitwiseAND(F.lit(n * 64 - 1)).cast("int")
     bits = bench.select(place.alias("p")).selectExpr("p div 64 as w", "shiftleft(1L, p & 63) as b")
     found = {r["w"]: r["word"] for r in bits.groupBy("w").agg(F.bit_or("b").alias("word")).collect()}  # at most n rows
     return [found.get(k, 0) for k in range(n)]
@@ -108,11 +106,11 @@ def item_seeds(items: DataFrame, masks: tuple = MASKS) -> tuple[DataFrame, dict[
 
 def leaks(docs: DataFrame, benchmark: DataFrame, masks: tuple = MASKS, window: int = WINDOW, identity: float = IDENTITY) -> DataFrame:
     """doc_id, h (hash of the text), item_id, doc_start, item_start, matched, compared of every leaked item, best place first."""
-    items = benchmark.select(F.col("item_id").alias("item_id"), token_hashes(F.col("text")).alias("tokens")).where(F.size("tokens") > 0)
+    items = benchmark.select(F.col("item_id").alias("item_id"), tokens_of(F.col("text")).alias("tokens")).where(F.size("tokens") > 0)
     items = checkpoint(items)
     given, used = item_seeds(items, masks)
     own = docs.select(F.col("doc_id").alias("doc_id"), F.xxhash64("text").alias("h"), F.col("text").alias("text"))
-    tokens = own.select("doc_id", "h", token_hashes(F.col("text")).alias("tokens"))
+    tokens = own.select("doc_id", "h", tokens_of(F.col("text")).alias("tokens"))
     found = seeds(tokens, ["doc_id", "h"], used, seed_filter(given))
     lookup, _ = broadcast_below(given, BROADCAST_ROWS)
     hits = found.join(lookup, ["m", "seed"]).select("doc_id", "h", "item_id", (F.col("pos") - F.col("item_pos")).alias("diagonal"))
@@ -120,7 +118,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, masks: tuple = MASKS, window: i
     by_doc = hits.groupBy("doc_id", "h").agg(F.collect_list(F.struct("item_id", "diagonal")).alias("found"))
     small, _ = broadcast_below(checkpoint(by_doc.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "found")), BROADCAST_ROWS)
     again = own.join(small, (F.col("h") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    again = again.select("doc_id", "h", token_hashes(F.col("text")).alias("tokens"), "found")
+    again = again.select("doc_id", "h", tokens_of(F.col("text")).alias("tokens"), "found")
     pairs = again.select("doc_id", "h", "tokens", F.inline("found"))
     item_lookup, _ = broadcast_below(items.select(F.col("item_id").alias("_item"), F.col("tokens").alias("item")), BROADCAST_ROWS)
     placed = pairs.join(item_lookup, F.col("item_id").eqNullSafe(F.col("_item")))
