@@ -52,6 +52,11 @@ def dense(kept: DataFrame, name: str) -> DataFrame:
     return placed.join(F.broadcast(bases), "_part").select(*kept.columns, (F.col("_start") + F.col("_place")).alias(name))  # a row per partition
 
 
+def places(ids: DataFrame) -> DataFrame:
+    """(patch_id, place): distinct ids with their place, from 0, in ascending order."""
+    return dense(checkpoint(ids.select("patch_id").repartitionByRange("patch_id").sortWithinPartitions("patch_id")), "place")
+
+
 def nest_occurrences(occurrence: DataFrame) -> DataFrame:
     """Occurrences -> (patch_id, occ) in order of position."""
     row = F.struct("pos", "hash", "x", "y")

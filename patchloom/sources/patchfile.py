@@ -154,10 +154,15 @@ class Part(WriterCommitMessage):
     last: int
     sizes: list
     located: bool
+    split: bool
+    place: int
 
 
 class PatchFileWriter(DataSourceArrowWriter):
-    """Each task writes its hashes and places beside the target; the commit puts the sections in order."""
+    """Each task writes its hashes and places beside the target; the commit puts the sections in order.
+
+    Rows are patches (patch_id, occ) or, in order, occurrences (patch_id, hash, x, y); partitions may then share a patch.
+    """
 
     def __init__(self, options: dict, overwrite: bool):
         self.path, self.located, self.overwrite = options["path"], options.get("coords", "true").lower() != "false", overwrite
@@ -165,24 +170,35 @@ class PatchFileWriter(DataSourceArrowWriter):
     def write(self, batches):
         import uuid
 
+        from pyspark import TaskContext
+
         system, inner = _open(self.path)
-        name, ids, sizes = f"{inner}.{uuid.uuid4().hex}", [], []
+        name, ids, sizes, split = f"{inner}.{uuid.uuid4().hex}", [], [], False
         with system.open_output_stream(f"{name}.h") as hashes, system.open_output_stream(f"{name}.p") as places:
             for batch in batches:
-                occ = batch.column("occ")
                 own = batch.column("patch_id").to_numpy(zero_copy_only=False)
-                if (np.diff(np.concatenate((ids[-1:], own))) <= 0).any():
+                split = "occ" not in batch.schema.names
+                if (np.diff(np.concatenate((ids[-1:], own))) < (0 if split else 1)).any():
                     raise PatchFileError("patches do not come in ascending order of distinct ids; use write_patches()")
+                if split:
+                    columns = {c: batch.column(c) for c in ("hash", "x", "y")}
+                    own, counts = np.unique(own, return_counts=True)
+                    if ids and len(own) and ids[-1] == own[0]:
+                        sizes[-1] += int(counts[0])
+                        own, counts = own[1:], counts[1:]
+                    sizes += counts.tolist()
+                else:
+                    occ = batch.column("occ")
+                    columns = dict(zip(("hash", "x", "y"), (occ.flatten().field(c) for c in ("hash", "x", "y")), strict=True))
+                    sizes += [n or 0 for n in pa.compute.list_value_length(occ).to_pylist()]
                 ids += own.tolist()
-                flat = occ.flatten()
-                sizes += [n or 0 for n in pa.compute.list_value_length(occ).to_pylist()]
-                hashes.write(flat.field("hash").to_numpy(zero_copy_only=False).astype("<i8").tobytes())
+                hashes.write(columns["hash"].to_numpy(zero_copy_only=False).astype("<i8").tobytes())
                 if self.located:
-                    xy = [flat.field(c).to_numpy(zero_copy_only=False).astype("<f8") for c in ("x", "y")]
-                    if any(flat.field(c).null_count for c in ("x", "y")):
+                    xy = [columns[c].to_numpy(zero_copy_only=False).astype("<f8") for c in ("x", "y")]
+                    if any(columns[c].null_count for c in ("x", "y")):
                         raise PatchFileError("an occurrence has no location; write with coords=false")
                     places.write(np.column_stack(xy).tobytes())
-        return Part(name if ids else self._drop(system, name), ids[0] if ids else 0, ids[-1] if ids else 0, sizes, self.located)
+        return Part(name if ids else self._drop(system, name), ids[0] if ids else 0, ids[-1] if ids else 0, sizes, self.located, split, TaskContext.get().partitionId())
 
     @staticmethod
     def _drop(system, name):
@@ -192,10 +208,13 @@ class PatchFileWriter(DataSourceArrowWriter):
 
     def commit(self, messages):
         system, inner = _open(self.path)
-        parts = sorted((m for m in messages if m and m.name), key=lambda m: m.first)
-        if any(a.last >= b.first for a, b in zip(parts, parts[1:], strict=False)):
+        parts = sorted((m for m in messages if m and m.name), key=lambda m: m.place if m.split else m.first)
+        if any(a.last > b.first or a.last == b.first and not b.split for a, b in zip(parts, parts[1:], strict=False)):
             self.abort(messages)
             raise PatchFileError("partitions overlap in patch ids; use write_patches()")
+        for a, b in zip(parts, parts[1:], strict=False):
+            if a.last == b.first:  # the patch counts where it ends
+                b.sizes[0] += a.sizes.pop()
         sizes = np.concatenate([np.array(p.sizes, np.int64) for p in parts]) if parts else np.zeros(0, np.int64)
         offsets = np.concatenate(([0], np.cumsum(sizes))).astype("<u8")
         with system.open_output_stream(f"{inner}.new") as out:
@@ -206,6 +225,7 @@ class PatchFileWriter(DataSourceArrowWriter):
                     with system.open_input_stream(f"{p.name}.{kind}") as f:
                         while block := f.read(1 << 24):
                             out.write(block)
+                    system.delete_file(f"{p.name}.{kind}")  # so that no more than a part is there twice
         system.move(f"{inner}.new", inner)
         for p in parts:
             self._drop(system, p.name)
@@ -250,3 +270,14 @@ def write_patches(nested: DataFrame, path: str, coords: bool = True) -> None:
     register(nested.sparkSession)
     ordered = nested.select("patch_id", "occ").repartitionByRange("patch_id").sortWithinPartitions("patch_id")
     ordered.write.format("patchfile").mode("overwrite").option("coords", str(coords).lower()).save(path)
+
+
+def write_occurrences(occurrence: DataFrame, path: str, coords: bool = True) -> None:
+    """Write occurrences in order of patch and position, or of hash, x and y where positions agree or are null.
+
+    One shuffle, and no row or task that grows with a patch; a patch without occurrences is not written.
+    """
+    register(occurrence.sparkSession)
+    order = ("patch_id", "pos", "hash", "x", "y")
+    ordered = occurrence.select(*order).repartitionByRange(*order).sortWithinPartitions(*order).select("patch_id", "hash", "x", "y")
+    ordered.write.format("patchfile").mode("overwrite").option("coords", str(coords).lower()).save(path)

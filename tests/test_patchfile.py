@@ -2,9 +2,11 @@ import struct
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from patchloom import cli
 from patchloom.operators import cover, ingest, stats
+from patchloom.plans import registry
 from patchloom.sources import patchfile, synthetic
 from patchloom.streaming.stats import cover_each_batch, start_hash_stats
 
@@ -23,6 +25,19 @@ def test_round_trip(spark, tmp_path, slices, located):
     assert [p.name for p in tmp_path.iterdir()] == ["p.bin"]
 
 
+def test_occurrences_of_a_patch_in_many_partitions(spark, tmp_path):
+    """A patch of nearly all rows is dealt out; the file is that of whole patches."""
+    rows = spark.range(20000).select(F.greatest(F.lit(0), F.col("id") - 19990).alias("patch_id"), F.col("id").cast("int").alias("pos"), (F.col("id") * 7919 % 1009).alias("hash"), F.rand(1).alias("x"), F.rand(2).alias("y")).cache()
+    one, two = str(tmp_path / "one"), str(tmp_path / "two")
+    patchfile.write_patches(ingest.nest_occurrences(rows), one)
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else the small partitions become one
+    patchfile.write_occurrences(rows, two)
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert (tmp_path / "one").read_bytes() == (tmp_path / "two").read_bytes()
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["one", "two"]
+
+
 def test_windows_and_filters(spark, tmp_path):
     path = str(tmp_path / "p.bin")
     nested = ingest.from_lists(spark, [[1, 1, -5], [], [7], [8, 9]])
@@ -109,3 +124,13 @@ def test_streams(spark, tmp_path):
     assert seen[-1] == stats.top_k(stats.hash_stats(rows), 10).collect()
     cover_each_batch(stream, lambda df, _: covers.append(df.orderBy("step").collect()), str(tmp_path / "c2")).awaitTermination()
     assert covers[-1] == cover.cover_lazy(rows.select("patch_id", "hash").distinct()).orderBy("step").collect()
+
+
+@pytest.mark.parametrize("gap", [0, 1000])
+def test_round_trip_of_a_table_in_parts(spark, tmp_path, gap):
+    """Several partitions, whose row ids pass 32 bits, and suppliers that do not count from 0."""
+    supplier = F.col("id") % 7 * max(gap, 1) + gap
+    rows = spark.range(500, numPartitions=5).select(supplier.alias("l_suppkey"), (F.col("id") % 11).alias("l_partkey"), F.col("id").cast("double").alias("l_extendedprice"), (F.col("id") % 3).cast("double").alias("l_quantity"))
+    rows.write.parquet(str(tmp_path / "lineitem.parquet"))
+    found = registry.patch_file_round_trip(spark, str(tmp_path))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, rows.collect()))
