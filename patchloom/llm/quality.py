@@ -1,9 +1,12 @@
 """Quality rules by an isolation forest on rule statistics.
 
 Every text gets the statistics of the usual heuristic rules (length, symbols, repeated lines and
-words, capitals, punctuation).  An isolation forest - binary trees of random splits - is grown on a
-bounded sample of rows labelled good; a document that few splits suffice to set apart is anomalous.
-The score above which a document is rejected is calibrated on the labelled sample.
+words, capitals, punctuation).  An isolation forest is trees of random splits; a row labelled good
+that few splits suffice to set apart is anomalous, and so is a document that ends where it does.
+The splits are drawn at random, the rows that end at each leaf are counted over all rows labelled
+good, and the score above which a document is rejected is calibrated on the scores of all labelled
+rows, told apart in steps of 1 / GRID.  Nothing is fitted on a sample: executors count, and the
+driver holds the leaves' counts and the histograms of scores, whose size the rows do not change.
 
 Edge cases: a null or empty text has no words and fails the base rule; a null id is kept as null;
 repeated rows each get their own (equal) result; an empty table gives an empty result; without
@@ -17,11 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Texts, mix64, slices, small_batches, text_bytes
+from .common import Texts, broadcast_below, checkpoint, mix64, slices, small_batches, text_bytes
 
-#: Labelled rows that the forest and its threshold are fitted on, at most.
-SAMPLE_ROWS = 8192
-TREES, RULE_TREES, TREE_ROWS, MAX_DEPTH = 100, 25, 256, 10
+TREES, RULE_TREES, MAX_DEPTH = 100, 25, 10
+LEAVES = 1 << MAX_DEPTH
+#: Steps of the scores (0 to 1) that thresholds tell apart.
+GRID = 1 << 14
+#: Labelled ids that are broadcast to leave other texts out, where texts are read for the fit alone.
+BROADCAST_ROWS = 200_000
 #: Share of the good labelled rows that the threshold may reject.
 GOOD_LOSS = 0.002
 #: Share of the bad labelled rows that one more forest must catch to be used.
@@ -87,45 +93,75 @@ def _expected_path(n: np.ndarray | float):
 class IsolationForest:
     """Trees of random splits, as arrays: feature, threshold and, where a path ends, its length.
 
-    A split is drawn uniformly from its node's box, which starts as the box of the whole labelled
-    sample; rows are those labelled good.  So a region without good rows ends a path early.
+    A split is drawn uniformly from its node's box, which starts as the box of all labelled rows, so
+    it hangs on no row.  A path ends at the first node with at most one row labelled good, or at
+    MAX_DEPTH; so a region without good rows ends a path early.  Without `rows` the lengths are left
+    open until `count` gets the good rows of every leaf.
     """
 
-    def __init__(self, rows: np.ndarray, low: np.ndarray, high: np.ndarray, columns: list[int], trees: int, seed: int = 7):
+    def __init__(self, rows: np.ndarray | None, low: np.ndarray, high: np.ndarray, columns: list[int], trees: int, seed: int = 7):
         rng = np.random.default_rng([seed, *columns])
-        size = min(TREE_ROWS, len(rows))
-        n = 2 ** (MAX_DEPTH + 1) - 1
+        n = 2 * LEAVES - 1
         self.feature = np.full((trees, n), columns[0], np.int16)
-        self.split = np.full((trees, n), np.inf)
+        self.split = np.full((trees, n), np.inf)  # without a split all rows go left
         self.path = np.zeros((trees, n))
-        for k in range(trees):
-            self._grow(k, 0, 0, rows[rng.choice(len(rows), size, replace=False)], low.copy(), high.copy(), columns, rng)
-        self.norm = max(float(_expected_path(size)), 1e-9)
-
-    def _grow(self, k: int, node: int, depth: int, rows: np.ndarray, low: np.ndarray, high: np.ndarray, columns: list[int], rng) -> None:
-        able = [f for f in columns if high[f] > low[f]]
-        if depth == MAX_DEPTH or not able or len(rows) <= 1:
-            length = depth + float(_expected_path(len(rows)))
-            while depth < MAX_DEPTH:  # without a split all rows go left
-                node, depth = 2 * node + 1, depth + 1
-            self.path[k, node] = length
-            return
-        f = able[rng.integers(len(able))]
-        at = rng.uniform(low[f], high[f])
-        self.feature[k, node], self.split[k, node] = f, at
-        left, below, above = rows[:, f] <= at, high.copy(), low.copy()
-        below[f] = above[f] = at
-        self._grow(k, 2 * node + 1, depth + 1, rows[left], low, below, columns, rng)
-        self._grow(k, 2 * node + 2, depth + 1, rows[~left], above, high, columns, rng)
-
-    def score(self, x: np.ndarray) -> np.ndarray:
-        """2 ** (-mean path / expected path): near 1 for rows that are set apart early."""
-        total, row = np.zeros(len(x)), np.arange(len(x))
+        self.norm = 1e-9
+        chosen, tree = np.array(columns), np.arange(trees)[:, None]
+        below = np.tile(low[chosen].astype(np.float64), (trees, 1, 1))
+        above = np.tile(high[chosen].astype(np.float64), (trees, 1, 1))
+        for depth in range(MAX_DEPTH):
+            width, first = 1 << depth, (1 << depth) - 1
+            able = above > below
+            draw, at = rng.random((2, trees, width))
+            nth = np.floor(draw * able.sum(2)).astype(np.int64) + 1
+            f = np.argmax(np.cumsum(able, 2) >= nth[..., None], 2)
+            place = np.arange(width)[None, :]
+            a, b = below[tree, place, f], above[tree, place, f]
+            at = a + at * (b - a)
+            some = able.any(2)
+            self.feature[:, first : first + width] = chosen[f]
+            self.split[:, first : first + width] = np.where(some, at, np.inf)
+            above_left, below_right = above.copy(), below.copy()
+            above_left[tree, place, f] = np.where(some, at, b)
+            below_right[tree, place, f] = np.where(some, at, a)
+            below = np.stack((below, below_right), 2).reshape(trees, 2 * width, -1)
+            above = np.stack((above_left, above), 2).reshape(trees, 2 * width, -1)
+        if rows is not None:
+            self.count(self.tally(rows))
+
+    def leaves(self, x: np.ndarray):
+        """The leaf (0 .. LEAVES - 1) of every row, tree by tree."""
+        row = np.arange(len(x))
         for k in range(len(self.split)):
             node = np.zeros(len(x), np.int64)
             for _ in range(MAX_DEPTH):
                 node = 2 * node + 1 + (x[row, self.feature[k, node]] > self.split[k, node])
-            total += self.path[k, node]
+            yield node - (LEAVES - 1)
+
+    def tally(self, x: np.ndarray) -> np.ndarray:
+        """How many rows end at each leaf, one line a tree."""
+        return np.stack([np.bincount(leaf, minlength=LEAVES) for leaf in self.leaves(x)])
+
+    def count(self, rows: np.ndarray) -> None:
+        """The lengths of the paths, from the good rows of every leaf."""
+        trees = len(self.split)
+        ended = np.zeros((trees, LEAVES), bool)
+        length = np.zeros((trees, LEAVES))
+        for depth in range(MAX_DEPTH + 1):
+            span, first = LEAVES >> depth, (1 << depth) - 1
+            n = rows.reshape(trees, 1 << depth, span).sum(2)
+            last = (n <= 1) | np.isinf(self.split[:, first : first + n.shape[1]])
+            ends = np.repeat(last, span, 1) & ~ended
+            length[ends] = np.repeat(depth + _expected_path(n), span, 1)[ends]
+            ended |= ends
+        self.path[:, LEAVES - 1 :] = length
+        self.norm = max(float(_expected_path(rows[0].sum())), 1e-9)
+
+    def score(self, x: np.ndarray) -> np.ndarray:
+        """2 ** (-mean path / expected path): near 1 for rows that are set apart early."""
+        total = np.zeros(len(x))
+        for k, leaf in enumerate(self.leaves(x)):
+            total += self.path[k, leaf + LEAVES - 1]
         return 2.0 ** (-total / len(self.split) / self.norm)
 
 
@@ -136,90 +172,167 @@ class RuleForests:
     splits of the joint forest miss it.  A document is rejected if any score is above its threshold.
     """
 
-    def __init__(self, x: np.ndarray, good: np.ndarray, good_loss: float):
-        columns = list(range(x.shape[1]))
-        groups = [[f] for f in columns] + [columns]
-        forests = [IsolationForest(x[good], x.min(0), x.max(0), g, TREES if len(g) > 1 else RULE_TREES) for g in groups]
-        scores = [f.score(x) for f in forests]
-        # The forest that tells most goes first; a later one only has to catch what is left.
-        by_gain = sorted(range(len(groups)), key=lambda k: -calibrate(scores[k], good, (~good).sum(), good_loss)[1])
-        left, self.forests, self.thresholds = np.ones(len(x), bool), [], []
-        for k in by_gain:
-            at, gain = calibrate(scores[k][left], good[left], (~good).sum(), good_loss)
-            if gain > LEAST_GAIN:
-                self.forests.append(forests[k])
-                self.thresholds.append(at)
-                left &= scores[k] <= at
+    def __init__(self, forests: list[IsolationForest], thresholds: list[float]):
+        self.forests, self.thresholds = forests, thresholds
 
     def excess(self, x: np.ndarray) -> np.ndarray:
         """The largest of score / threshold; above 1 the document is rejected."""
         return np.max([np.zeros(len(x)), *(f.score(x) / t for f, t in zip(self.forests, self.thresholds, strict=True))], axis=0)
 
 
-def calibrate(scores: np.ndarray, good: np.ndarray, n_bad: int, good_loss: float) -> tuple[float, float]:
-    """A threshold and its gain: the share of bad rows above it, less ten times that of good ones.
+def step(scores: np.ndarray) -> np.ndarray:
+    """The step of each score: above (step - 1) / GRID, at most step / GRID."""
+    return np.ceil(scores * GRID).astype(np.int32)
+
+
+def calibrate(steps: np.ndarray, good: np.ndarray, bad: np.ndarray, n_bad: int, good_loss: float) -> tuple[int, float, float]:
+    """The last step to keep, the threshold and its gain: the share of bad rows above, less ten times that of good ones.
 
-    At most `good_loss` of the good rows are above it; it stands halfway to the next score above.
+    `good` and `bad` count the rows of each of the ascending steps.  At most `good_loss` of the good
+    rows are above the threshold; it stands halfway to the next step above that has rows.
     """
-    order, bad = np.sort(scores[good]), np.sort(scores[~good])
-    if not len(order) or not len(bad):
-        return 1.0, 0.0
-    least = order[min(len(order) - 1, int(np.ceil(len(order) * (1 - good_loss))))]
-    at, gain = 1.0, 0.0
-    values = np.unique(scores[scores >= least])
-    for t, above in zip(values[:-1], values[1:], strict=True):
-        caught = (len(bad) - np.searchsorted(bad, t, "right")) / n_bad
-        lost = (len(order) - np.searchsorted(order, t, "right")) / len(order)
+    n_good = int(good.sum())
+    last, at, gain = GRID, 1.0, 0.0
+    if not n_good or not bad.sum():
+        return last, at, gain
+    good_to, bad_to = np.cumsum(good), np.cumsum(bad)
+    least = int(np.searchsorted(good_to, min(n_good - 1, int(np.ceil(n_good * (1 - good_loss)))), "right"))
+    for k in range(least, len(steps) - 1):
+        caught, lost = (bad_to[-1] - bad_to[k]) / n_bad, (n_good - good_to[k]) / n_good
         if caught - 10 * lost > gain:
-            at, gain = float(t + above) / 2, caught - 10 * lost
-    return at, gain
+            last, at, gain = int(steps[k]), float(steps[k] + steps[k + 1] - 1) / 2 / GRID, caught - 10 * lost
+    return last, at, gain
 
 
-def _with_counts(batches, text: str, model: RuleForests | None, only: bool):
-    """All rows with counts, score and verdict (only: the kept rows, with their own columns alone)."""
+def verdicts(counts: np.ndarray, model: RuleForests | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """base_failed, anomaly and kept of each line of counts."""
+    failed = base_failed(counts)
+    excess = model.excess(features(counts)) if model is not None and len(counts) else np.zeros(len(counts))
+    return failed, excess, ~failed & ~(excess > 1)
+
+
+def _counts(texts: pa.Array) -> np.ndarray:
+    data, offsets = text_bytes(texts)
+    parts = [rule_counts(data, offsets[a : b + 1]) for a, b in slices(offsets)]
+    return np.concatenate(parts) if parts else np.zeros((0, len(COUNTS)), np.int64)
+
+
+def _counted(batches):
     for batch in batches:
-        data, offsets = text_bytes(batch.column(text))
-        parts = [rule_counts(data, offsets[a : b + 1]) for a, b in slices(offsets)]
-        counts = np.concatenate(parts) if parts else np.zeros((0, len(COUNTS)), np.int64)
-        failed = base_failed(counts)
-        excess = model.excess(features(counts)) if model is not None and len(counts) else np.zeros(len(counts))
-        kept = ~failed & ~(excess > 1)
-        if only:
-            yield batch.filter(pa.array(kept))
-            continue
-        rest = [c for c in batch.schema.names if c != text]
-        columns = [batch.column(c) for c in rest] + [pa.array(counts[:, k]) for k in range(len(COUNTS))]
-        columns += [pa.array(failed), pa.array(excess), pa.array(kept)]
-        yield pa.RecordBatch.from_arrays(columns, names=[*rest, *COUNTS, "base_failed", "anomaly", "kept"])
+        counts = _counts(batch.column("text"))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(counts[:, k]) for k in range(len(COUNTS)))], names=["doc_id", *COUNTS])
+
+
+def _kept(batches, model: RuleForests | None):
+    for batch in batches:
+        yield batch.filter(pa.array(verdicts(_counts(batch.column("text")), model)[2]))
+
 
+_LONGS = ", ".join(f"{c} long" for c in ("doc_id", *COUNTS))
 
-_OUT = ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, anomaly double, kept boolean"
 
+def _count(docs: DataFrame) -> DataFrame:
+    """doc_id and the counts of every document, kept in the shared folder."""
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return checkpoint(rows.mapInArrow(_counted, _LONGS))
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, good_loss: float = GOOD_LOSS) -> RuleForests | None:
-    """The forests and their thresholds, from at most `sample_rows` labelled rows in hash order.
+
+def _numbers(batch, names) -> np.ndarray:
+    return np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in names])
+
+
+def _box(batches):
+    """The least and largest of every feature, one row a batch."""
+    for batch in batches:
+        if batch.num_rows:
+            x = features(_numbers(batch, COUNTS))
+            yield pa.RecordBatch.from_arrays([pa.array([v]) for v in (*x.min(0), *x.max(0))], names=[f"f{k}" for k in range(2 * x.shape[1])])
+
+
+def _tally(batches, forests: list[IsolationForest]):
+    """(leaf, n): how many rows end at each leaf of all trees, counted through."""
+    total = np.zeros(sum(len(f.split) for f in forests) * LEAVES, np.int64)
+    for batch in batches:
+        if batch.num_rows:
+            x = features(_numbers(batch, COUNTS))
+            total += np.concatenate([f.tally(x).ravel() for f in forests])
+    leaf = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(total[leaf])], names=["leaf", "n"])
+
+
+def _steps(batches, forests: list[IsolationForest]):
+    for batch in batches:
+        x = features(_numbers(batch, COUNTS)) if batch.num_rows else np.zeros((0, 1))
+        steps = [pa.array(step(f.score(x)) if len(x) else np.zeros(0, np.int32), pa.int32()) for f in forests]
+        yield pa.RecordBatch.from_arrays([batch.column("_good"), *steps], names=["_good", *(f"s{k}" for k in range(len(forests)))])
+
+
+def _histogram(scored: DataFrame, forests: list[int]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Steps and their good and bad rows, for some of the forests; at most GRID rows of each reach the driver."""
+    each = scored.select("_good", F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"s{k}").alias("step")) for k in forests))).alias("s"))
+    rows = each.groupBy("s.k", "s.step").agg(F.count_if("_good").alias("good"), F.count_if(~F.col("_good")).alias("bad")).orderBy("k", "step").toPandas()
+    return {k: tuple(rows.loc[rows["k"] == k, c].to_numpy() for c in ("step", "good", "bad")) for k in forests}
+
+
+def fit(counted: DataFrame, labels: DataFrame, good_loss: float = GOOD_LOSS) -> RuleForests | None:
+    """The forests and their thresholds, from all labelled rows of doc_id and COUNTS that pass the base rule.
 
     A label that is null is left out; an id labelled twice counts as bad if either label is 0.
     """
-    sample = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("_good"))
-    sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    marked = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    rows = small_batches(marked).mapInArrow(lambda b: _with_counts(b, "text", None, False), f"doc_id long, _good int, {_OUT}")
-    # Of documents that repeat an id, the one with the smallest counts: at most sample_rows rows.
-    rows = rows.groupBy("doc_id", "_good").agg(F.min(F.struct(*COUNTS)).alias("c")).select("doc_id", "_good", "c.*").orderBy("doc_id").toPandas()
-    counts = rows[list(COUNTS)].to_numpy(np.int64)
-    usable = ~base_failed(counts)
-    good = (rows["_good"].to_numpy() == 1)[usable]
-    return RuleForests(features(counts[usable]), good, good_loss) if good.any() else None
+    marks = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.min("quality") == 1).alias("_good"))
+    # Of documents that repeat an id, the one with the smallest counts.
+    rows = counted.groupBy("doc_id").agg(F.min(F.struct(*COUNTS)).alias("c")).join(marks, "doc_id").select("_good", "c.*")
+    rows = checkpoint(rows.where("n_words >= 50 and 100 * n_repeat_words <= 50 * n_words"))
+    n = int(rows.where("_good").count())
+    if not n:
+        return None
+    width = features(np.ones((1, len(COUNTS)))).shape[1]
+    names = [f"f{k}" for k in range(2 * width)]
+    bounds = [(F.min if k < width else F.max)(c).alias(c) for k, c in enumerate(names)]
+    box = np.array(rows.mapInArrow(_box, ", ".join(f"{c} double" for c in names)).agg(*bounds).first())
+    groups = [[f] for f in range(width)] + [list(range(width))]
+    forests = [IsolationForest(None, box[:width], box[width:], g, TREES if len(g) > 1 else RULE_TREES) for g in groups]
+    tally = rows.where("_good").mapInArrow(lambda b: _tally(b, forests), "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n")).toPandas()
+    total = np.zeros(sum(len(f.split) for f in forests) * LEAVES, np.int64)
+    total[tally["leaf"].to_numpy()] = tally["n"].to_numpy()
+    for f, own in zip(forests, np.split(total.reshape(-1, LEAVES), np.cumsum([len(f.split) for f in forests])[:-1]), strict=True):
+        f.count(own)
+    scored = checkpoint(rows.mapInArrow(lambda b: _steps(b, forests), "_good boolean, " + ", ".join(f"s{k} int" for k in range(len(forests)))))
+    found = _histogram(scored, list(range(len(forests))))
+    n_bad = left_bad = int(found[0][2].sum())
+    if not n_bad:
+        return RuleForests([], [])
+    # The forest that tells most goes first; a later one only has to catch what is left.
+    by_gain = sorted(found, key=lambda k: -calibrate(*found[k], n_bad, good_loss)[2])
+    used, thresholds = [], []
+    for k in by_gain:
+        if left_bad <= LEAST_GAIN * n_bad:
+            break
+        steps, good, bad = _histogram(scored, [k])[k] if used else found[k]
+        last, at, gain = calibrate(steps, good, bad, n_bad, good_loss)
+        if gain > LEAST_GAIN:
+            used.append(forests[k])
+            thresholds.append(at)
+            scored, left_bad = scored.where(F.col(f"s{k}") <= last), int(bad[steps <= last].sum())
+    return RuleForests(used, thresholds)
+
+
+def _judge(batches, model: RuleForests | None):
+    """The rows of _count with base_failed, anomaly and kept."""
+    for batch in batches:
+        counts = _numbers(batch, COUNTS) if batch.num_rows else np.zeros((0, len(COUNTS)), np.int64)
+        yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, verdicts(counts, model))], names=[*batch.schema.names, "base_failed", "anomaly", "kept"])
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, the counts, base_failed, anomaly (above 1: rejected) and kept of every document."""
-    model = fit(docs, labels)
-    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda b: _with_counts(b, "text", model, False), f"doc_id long, {_OUT}")
+    counted = _count(docs)
+    model = fit(counted, labels)
+    return counted.mapInArrow(lambda b: _judge(b, model), f"{_LONGS}, base_failed boolean, anomaly double, kept boolean")
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that pass, with all their columns."""
-    model = fit(docs, labels)
-    return small_batches(docs).mapInArrow(lambda b: _with_counts(b, "text", model, True), docs.schema)
+    ids, few = broadcast_below(labels.where("doc_id is not null and quality is not null").select("doc_id").distinct(), BROADCAST_ROWS)
+    model = fit(_count(docs.join(ids, "doc_id", "left_semi") if few else docs), labels)
+    return small_batches(docs).mapInArrow(lambda b: _kept(b, model), docs.schema)
