@@ -226,6 +226,10 @@ def cover_grouped(spark, sf_dir):
     return cover.cover_grouped(rows, "year")
 
 
+#: Patch ids that are broadcast with their places.
+BROADCAST_IDS = 200_000
+
+
 def patch_file_round_trip(spark, sf_dir):
     """Written as a patch file with locations and read again.
 
@@ -237,6 +241,7 @@ def patch_file_round_trip(spark, sf_dir):
     low, high, n = ids.agg(F.min("patch_id"), F.max("patch_id"), F.count("*")).first()
     places = None if not n or (low, high) == (0, n - 1) else ingest.places(ids)
     if places is not None:
+        places = F.broadcast(places) if n <= BROADCAST_IDS else places
         rows = rows.join(places, "patch_id").drop("patch_id").withColumnRenamed("place", "patch_id")
     path = os.path.join(shared_folder(spark).removeprefix("file://"), f"patches-{uuid.uuid4().hex}.bin")
     patchfile.write_occurrences(rows, path)
