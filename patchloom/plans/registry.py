@@ -238,7 +238,9 @@ def patch_file_round_trip(spark, sf_dir):
     """
     rows = ingest.validate(occurrences(spark, sf_dir))
     ids = rows.select("patch_id").distinct()
-    low, high, n = ids.agg(F.min("patch_id"), F.max("patch_id"), F.count("*")).first()
+    low, high, n, known = ids.agg(F.min("patch_id"), F.max("patch_id"), F.count("*"), F.count("patch_id")).first()
+    if known < n:  # the join below would drop it
+        raise ValueError("a patch id or a hash is null")
     places = None if not n or (low, high) == (0, n - 1) else ingest.places(ids)
     if places is not None:
         places = F.broadcast(places) if n <= BROADCAST_IDS else places

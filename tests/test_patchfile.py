@@ -134,3 +134,11 @@ def test_round_trip_of_a_table_in_parts(spark, tmp_path, gap):
     rows.write.parquet(str(tmp_path / "lineitem.parquet"))
     found = registry.patch_file_round_trip(spark, str(tmp_path))
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, rows.collect()))
+
+
+@pytest.mark.parametrize("column", ["l_suppkey", "l_partkey"])
+def test_round_trip_rejects_nulls(spark, tmp_path, column):
+    rows = spark.range(40, numPartitions=2).select((F.col("id") % 7).alias("l_suppkey"), F.col("id").alias("l_partkey"), F.lit(1.0).alias("l_extendedprice"), F.lit(2.0).alias("l_quantity"))
+    rows.withColumn(column, F.when(F.col("l_partkey") > 0, F.col(column))).write.parquet(str(tmp_path / "lineitem.parquet"))
+    with pytest.raises(Exception, match="a patch id or a hash is null"):
+        registry.patch_file_round_trip(spark, str(tmp_path)).collect()
